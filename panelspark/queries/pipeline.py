@@ -97,16 +97,16 @@ spans AS (SELECT symbol, min(day) AS a, max(day) AS z FROM closes GROUP BY 1),
 calendar AS (SELECT symbol, CAST(unnest(generate_series(a, z, INTERVAL 1 DAY)) AS DATE) AS day FROM spans),
 daily AS (SELECT symbol, day, count(*) AS n, sum(close) AS s FROM closes GROUP BY 1, 2),
 dense AS (SELECT symbol, day, coalesce(n, 0) AS n, coalesce(s, 0) AS s FROM calendar LEFT JOIN daily USING (symbol, day)),
-trailing AS (SELECT symbol, day,
+rolled AS (SELECT symbol, day,
   CAST(sum(n) OVER (PARTITION BY symbol ORDER BY day ROWS 6 PRECEDING) AS BIGINT) AS n_7, sum(s) OVER (PARTITION BY symbol ORDER BY day ROWS 6 PRECEDING) AS s_7,
   CAST(sum(n) OVER (PARTITION BY symbol ORDER BY day ROWS 29 PRECEDING) AS BIGINT) AS n_30, sum(s) OVER (PARTITION BY symbol ORDER BY day ROWS 29 PRECEDING) AS s_30 FROM dense)
 """
 
 ORACLE: dict[str, str] = {
-    "p4_found": f"WITH {_CLOSES} SELECT symbol, CAST(day AS VARCHAR) AS day_iso FROM trailing WHERE n_7 = 0",
+    "p4_found": f"WITH {_CLOSES} SELECT symbol, CAST(day AS VARCHAR) AS day_iso FROM rolled WHERE n_7 = 0",
     "p4_trailing": f"""WITH {_CLOSES} SELECT symbol, CAST(day AS VARCHAR) AS day_iso, n_7, n_30,
       CASE WHEN n_7 > 0 THEN round(s_7, 4) END AS total_7, CASE WHEN n_7 > 0 THEN round(s_7 / n_7, 4) END AS mean_7,
-      CASE WHEN n_30 > 0 THEN round(s_30, 4) END AS total_30, CASE WHEN n_30 > 0 THEN round(s_30 / n_30, 4) END AS mean_30 FROM trailing""",
+      CASE WHEN n_30 > 0 THEN round(s_30, 4) END AS total_30, CASE WHEN n_30 > 0 THEN round(s_30 / n_30, 4) END AS mean_30 FROM rolled""",
     "p7_found": """WITH marks AS (SELECT upper(trim(symbol)) AS symbol, CAST(floor(epoch(date)) AS BIGINT) AS t, CAST(grid_s AS BIGINT) AS g
         FROM long_marks JOIN feeds USING (feed_id) WHERE symbol IS NOT NULL AND trim(symbol) <> '' AND close IS NOT NULL AND isfinite(close)),
       slots AS (SELECT DISTINCT symbol, g, t - t % g AS slot_s FROM marks),
