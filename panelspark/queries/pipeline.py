@@ -51,7 +51,7 @@ def p3_loaded(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_trailing(spark: SparkSession, d: str) -> DataFrame:
     r = trailing_totals(table(spark, d, "long_prices"))
-    figures = [F.round(c, 4).alias(c) for c in ("total_7", "mean_7", "total_30", "mean_30")]
+    figures = [c for w in (7, 30) for c in (F.round(f"total_{w}", 6).alias(f"total_{w}"), F.try_divide(F.round(f"total_{w}", 6), f"n_{w}").alias(f"mean_{w}"))]
     return r.select(F.col("entity").alias("symbol"), F.col("day").cast("string").alias("day_iso"), "n_7", "n_30", *figures)
 
 
@@ -105,8 +105,8 @@ rolled AS (SELECT symbol, day,
 ORACLE: dict[str, str] = {
     "p4_found": f"WITH {_CLOSES} SELECT symbol, CAST(day AS VARCHAR) AS day_iso FROM rolled WHERE n_7 = 0",
     "p4_trailing": f"""WITH {_CLOSES} SELECT symbol, CAST(day AS VARCHAR) AS day_iso, n_7, n_30,
-      CASE WHEN n_7 > 0 THEN round(s_7, 4) END AS total_7, CASE WHEN n_7 > 0 THEN round(s_7 / n_7, 4) END AS mean_7,
-      CASE WHEN n_30 > 0 THEN round(s_30, 4) END AS total_30, CASE WHEN n_30 > 0 THEN round(s_30 / n_30, 4) END AS mean_30 FROM rolled""",
+      CASE WHEN n_7 > 0 THEN round(s_7, 6) END AS total_7, CASE WHEN n_7 > 0 THEN round(s_7, 6) / n_7 END AS mean_7,
+      CASE WHEN n_30 > 0 THEN round(s_30, 6) END AS total_30, CASE WHEN n_30 > 0 THEN round(s_30, 6) / n_30 END AS mean_30 FROM rolled""",
     "p7_found": """WITH marks AS (SELECT upper(trim(symbol)) AS symbol, CAST(floor(epoch(date)) AS BIGINT) AS t, CAST(grid_s AS BIGINT) AS g
         FROM long_marks JOIN feeds USING (feed_id) WHERE symbol IS NOT NULL AND trim(symbol) <> '' AND close IS NOT NULL AND isfinite(close)),
       slots AS (SELECT DISTINCT symbol, g, t - t % g AS slot_s FROM marks),
