@@ -71,3 +71,32 @@ def wilder_weight(i: Column, n: Column, window: int) -> Column:
     return F.when(i <= window, F.pow(F.lit(q), n - window) / window).otherwise(
         F.pow(F.lit(q), n - i) / window
     )
+
+
+def normal_cdf(x: Column) -> Column:
+    """Standard normal distribution function to double precision (rational approximation after Hart), inside the JVM."""
+    # fixed values: coefficients of numerator and denominator, highest power first
+    top = [3.52624965998911e-2, 0.700383064443688, 6.37396220353165, 33.912866078383, 112.079291497871, 221.213596169931, 220.206867912376]
+    low = [8.83883476483184e-2, 1.75566716318264, 16.064177579207, 86.7807322029461, 296.564248779674, 637.333633378831, 793.826512519948, 440.413735824752]
+    a = F.abs(x)
+
+    def horner(coefficients: list[float]) -> Column:
+        out = F.lit(coefficients[0])
+        for c in coefficients[1:]:
+            out = out * a + F.lit(c)
+        return out
+
+    tail = F.exp(-a * a / 2) * horner(top) / horner(low)
+    far = F.lit(0.65)
+    for k in (4.0, 3.0, 2.0, 1.0):
+        far = F.lit(k) / (a + far)
+    beyond = F.exp(-a * a / 2) / ((a + far) * F.lit(2.506628274631))
+    upper = F.when(a > 37, 0.0).when(a < 7.07106781186547, tail).otherwise(beyond)
+    return F.when(x > 0, 1 - upper).otherwise(upper)
+
+
+def bucket_of(pos: Column, n: Column, k: Column) -> Column:
+    """Which of ``k`` contiguous buckets of ``n`` positions holds ``pos``; bounds are i * n / k, half to even."""
+    bound = lambda b: F.bround(b * n / k)
+    guess = F.floor(pos * k / n)
+    return F.when(pos >= bound(guess + 1), guess + 1).when(pos < bound(guess), guess - 1).otherwise(guess).cast("int")
