@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WHITESPACE = " \t\r\n\f\u000b ﻿"
@@ -100,3 +100,8 @@ def bucket_of(pos: Column, n: Column, k: Column) -> Column:
     bound = lambda b: F.bround(b * n / k)
     guess = F.floor(pos * k / n)
     return F.when(pos >= bound(guess + 1), guess + 1).when(pos < bound(guess), guess - 1).otherwise(guess).cast("int")
+
+
+def scalar(one_row: DataFrame) -> Column:
+    """The single row of an aggregate as a struct to compute with: an uncorrelated scalar subquery, no join."""
+    return one_row.select(F.struct("*").alias("s")).scalar()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelspark.functions.exprs import scalar
 from panelspark.plans.panels import positions
 
 SPIKE, STALE_RUN, MAX_NAMED, MAX_BINS, MAX_BUCKETS = 0.40, 5, 24, 20, 48
@@ -35,7 +36,9 @@ def name_health(prices: DataFrame) -> DataFrame:
 
 def profile(prices: DataFrame) -> DataFrame:
     """One row of counts over the universe, with the first names of each kind (at most 24, in order)."""
-    h = name_health(prices).crossJoin(F.broadcast(name_health(prices).where("readable").agg(F.max("n").alias("longest"), F.max("last_ts").alias("panel_last"))))  # one row
+    h = name_health(prices)
+    ends = scalar(h.where("readable").agg(F.max("n").alias("longest"), F.max("last_ts").alias("panel_last")))
+    h = h.withColumn("ends", ends).select("*", "ends.longest", "ends.panel_last")
     ok = F.col("readable")
     kinds = {
         "unreadable": ~ok,
@@ -82,7 +85,8 @@ def histogram(df: DataFrame, value: str, bins=None, at_most: int = MAX_BINS) ->
     k = F.lit(int(bins)) if bins else F.least(F.lit(at_most), F.greatest(F.lit(4), F.floor(F.sqrt("m")))).cast("int")
     ends = v.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("m")).where("lo < hi").withColumn("k", k)
     width = (F.col("hi") - F.col("lo")) / F.col("k")
-    counts = v.crossJoin(F.broadcast(ends)).groupBy(F.least(F.floor((F.col("v") - F.col("lo")) / width), F.col("k") - 1).alias("bin")).agg(F.count("*").alias("c"))  # one row
+    placed = v.withColumn("e", scalar(ends)).where("e IS NOT NULL").select("v", "e.lo", "e.hi", "e.k")
+    counts = placed.groupBy(F.least(F.floor((F.col("v") - F.col("lo")) / width), F.col("k") - 1).alias("bin")).agg(F.count("*").alias("c"))
     grid = ends.select("lo", "k", width.alias("w"), F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("bin"))
     return grid.join(counts, "bin", "left").select(F.col("bin").cast("int").alias("bin"), (F.col("lo") + F.col("bin") * F.col("w")).alias("low"), (F.col("lo") + (F.col("bin") + 1) * F.col("w")).alias("high"), F.coalesce("c", F.lit(0)).alias("count"))
 
@@ -95,8 +99,8 @@ def live_by_period(prices: DataFrame, buckets: int = MAX_BUCKETS) -> DataFrame:
     """
     spans = name_health(prices).where("readable").select("symbol", "first_ts", "last_ts")
     cal = prices.select("ts").distinct()
-    n = cal.agg(F.count("*").alias("nd"))
-    pos = cal.withColumn("i", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("ts")) - 1).crossJoin(F.broadcast(n))  # one row a date
+    n = scalar(cal.agg(F.count("*").alias("nd")))["nd"]
+    pos = cal.withColumn("i", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("ts")) - 1).withColumn("nd", n)  # one row a date
     k = F.least(F.lit(buckets), F.col("nd")).cast("int")
     bound = lambda b: F.bround(b * F.col("nd") / k)
     guess = F.floor(F.col("i") * k / F.col("nd"))

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelspark.functions.exprs import safe_corr
+from panelspark.functions.exprs import safe_corr, scalar
 
 
 def _date(by: str):
@@ -96,8 +96,8 @@ def newey_west(series: DataFrame, value: str, lags: int = 1, by: str = "series_i
 
 def grinold_alpha(panel: DataFrame, ic: float, vols: DataFrame | None = None, value: str = "value", by: str = "ts") -> DataFrame:
     """``symbol, zscore, vol, alpha`` on the last date: information coefficient times volatility times score; a missing volatility is 1."""
-    last = panel.agg(F.max(by).alias("last"))
-    z = cs_zscore(panel, value, by).join(F.broadcast(last), F.col(by) == F.col("last"))  # one row
+    last = scalar(panel.agg(F.max(by).alias("last")))["last"]
+    z = cs_zscore(panel, value, by).where(F.col(by) == last)
     z = z.join(vols.select("symbol", "vol"), "symbol", "left") if vols is not None else z.withColumn("vol", F.lit(None).cast("double"))
     vol = F.coalesce(F.abs("vol"), F.lit(1.0))
     return z.where("zscore IS NOT NULL").select("symbol", "zscore", vol.alias("vol"), (F.lit(float(ic)) * vol * F.col("zscore")).alias("alpha"))

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelspark.functions.exprs import array_split_segment, bucket_of, div, safe_corr
+from panelspark.functions.exprs import array_split_segment, bucket_of, div, safe_corr, scalar
 
 YEAR = 252
 MIN_PERFORMANCE, MIN_RISK, MIN_SEGMENT, MIN_OVERLAP = 30, 20, 20, 20
@@ -203,8 +203,8 @@ def book_combine(sleeves: DataFrame, weights: DataFrame | None = None) -> DataFr
     """``pos, ret``: weighted mean of the sleeves on their common tail; a sleeve without a weight counts 1."""
     t = _tailed(sleeves)
     t = t.join(weights.select("series_id", "weight"), "series_id", "left") if weights is not None else t.withColumn("weight", F.lit(None).cast("double"))
-    depth = t.agg(F.min("n").alias("depth"))
-    t = t.crossJoin(F.broadcast(depth)).where("tail <= depth").withColumn("w", F.coalesce("weight", F.lit(1.0)))  # one row
+    depth = scalar(t.agg(F.min("n").alias("depth")))["depth"]
+    t = t.withColumn("depth", depth).where("tail <= depth").withColumn("w", F.coalesce("weight", F.lit(1.0)))
     return t.groupBy((F.col("depth") - F.col("tail")).alias("pos")).agg(div(F.sum(F.col("w") * F.col("ret")), F.sum("w")).alias("ret"))
 
 

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from panelspark.functions.exprs import div
+from panelspark.functions.exprs import div, scalar
 
 
 def expand_grid(spark: SparkSession, grid: dict[str, list]) -> DataFrame:
@@ -37,14 +37,16 @@ def sma_grid(spark: SparkSession, fast: tuple[int, ...], slow: tuple[int, ...])
 def sma_cross(levels: DataFrame, grid: DataFrame, start: int) -> DataFrame:
     """``trial_id, pos, ret``: long while the fast mean of closes up to the day before is above the slow one, else flat.
 
-    All averages come from one window pass; the grid (a row per trial) is broadcast by its size.
+    All averages come from one window pass; the grid is the caller's parameters, a few numbers, and becomes literals.
     """
-    sizes = sorted({r[c] for r in grid.select("fast", "slow").distinct().collect() for c in ("fast", "slow")})  # the parameters, a few numbers
+    trials = [tuple(r) for r in grid.select("trial_id", "fast", "slow").collect()]
+    sizes = sorted({k for _, *pair in trials for k in pair})
     w = Window.partitionBy("series_id").orderBy("pos")
     means = levels.select("series_id", "pos", "ret", *[F.avg("close").over(w.rowsBetween(1 - k, 0)).alias(f"m{k}") for k in sizes])
     known = means.select("pos", "ret", F.map_from_arrays(F.array(*[F.lit(k) for k in sizes]), F.array(*[F.lag(f"m{k}").over(w) for k in sizes])).alias("m")).where(F.col("pos") >= start)
     long = F.try_element_at("m", F.col("fast")) > F.try_element_at("m", F.col("slow"))
-    return known.join(F.broadcast(grid)).select("trial_id", (F.col("pos") - start).alias("pos"), F.when(long, F.col("ret")).otherwise(0.0).alias("ret"))
+    each = F.array(*[F.struct(F.lit(i).alias("trial_id"), F.lit(f).alias("fast"), F.lit(s).alias("slow")) for i, f, s in trials])
+    return known.withColumn("g", F.explode(each)).select("*", "g.*").select("trial_id", (F.col("pos") - start).alias("pos"), F.when(long, F.col("ret")).otherwise(0.0).alias("ret"))
 
 
 def run_sweep(grid: DataFrame, fn: Callable[..., list], data=None, on_error: str = "record") -> DataFrame:
@@ -82,8 +84,7 @@ def sweep_best(trials: DataFrame) -> DataFrame:
 
 def surface(trials: DataFrame, axes: tuple[str, ...] = ()) -> DataFrame:
     """One row: ``n_ok, n_failed, best_sharpe, median_sharpe, share_near_best, shape`` and the median of each axis over the strong region."""
-    best = trials.agg(F.max("sharpe").alias("best"))
-    t = trials.crossJoin(F.broadcast(best))  # one row
+    t = trials.withColumn("best", scalar(trials.agg(F.max("sharpe").alias("best")))["best"])
     strong = (F.col("best") > 0) & (F.col("sharpe") >= F.col("best") * 0.8)
     near = F.coalesce(div(F.count_if(strong).cast("double"), F.count("sharpe")), F.lit(0.0))
     r = t.agg(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from panelspark.functions.exprs import clean_symbol, finite
+from panelspark.functions.exprs import clean_symbol, finite, scalar
 
 
 def normalise(df: DataFrame, symbol: str = "symbol", time: str = "ts", **values: str) -> DataFrame:
@@ -24,8 +24,7 @@ def positions(df: DataFrame, by: str = "symbol", order: str = "ts") -> DataFrame
 def align_longest(df: DataFrame, need: int = 1) -> tuple[DataFrame, DataFrame]:
     """Rule A: the names with as many rows as the longest one, and the names skipped with their lengths."""
     p = positions(df)
-    longest = p.agg(F.max("n").alias("depth"))
-    both = p.crossJoin(F.broadcast(longest))  # one row
+    both = p.withColumn("depth", scalar(p.agg(F.max("n").alias("depth")))["depth"])
     kept = both.where((F.col("n") == F.col("depth")) & (F.col("n") >= need)).drop("depth", "tail_pos")
     skipped = both.where((F.col("n") < F.col("depth")) | (F.col("n") < need)).groupBy("symbol").agg(F.max("n").alias("n"))
     return kept, skipped
@@ -40,8 +39,8 @@ def align_tail(signal: DataFrame, prices: DataFrame, need: int = 2) -> tuple[Dat
     p = positions(prices.where("close IS NOT NULL")).select("symbol", "tail_pos", F.col("n").alias("np"), "close")
     joined = s.join(p, ["symbol", "tail_pos"]).withColumn("m", F.least("ns", "np"))
     kept = joined.where(F.col("m") >= need)
-    depth = kept.agg(F.min("m").alias("depth"))
-    rows = kept.crossJoin(F.broadcast(depth)).where("tail_pos <= depth")  # one row
+    depth = scalar(kept.agg(F.min("m").alias("depth")))["depth"]
+    rows = kept.withColumn("depth", depth).where("tail_pos <= depth")
     rows = rows.select("symbol", (F.col("depth") - F.col("tail_pos")).alias("t"), "depth", "value", "close")
     names = s.select("symbol").union(p.select("symbol")).distinct()
     return rows, names.join(kept.select("symbol").distinct(), "symbol", "left_anti")
