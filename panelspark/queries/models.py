@@ -187,7 +187,7 @@ def cov_ewma(spark, d):
 
 _LW = f"""{_PANEL}, e AS (SELECT a, b, covar_pop(x, y) AS v FROM pp2 GROUP BY 1, 2), st AS (SELECT sum(v) FILTER (a = b) AS tr, count(*) FILTER (a = b) AS n, sum(v * v * CASE WHEN a = b THEN 1 ELSE 2 END) AS n2 FROM e),
  f AS (SELECT avg(s * s) AS m4 FROM (SELECT t, sum(x * x) AS s FROM (SELECT t, ret - avg(ret) OVER (PARTITION BY symbol) AS x FROM rp) GROUP BY 1)),
- k AS (SELECT least(greatest(least((m4 - n2) / n, (n2 - tr * tr / n) / n) / ((n2 - tr * tr / n) / n), 0), 1) AS shrinkage, tr / n AS mu FROM st, f)"""
+ k AS (SELECT least(greatest(least((m4 - n2) / n, (n2 - tr * tr / n) / n) / nullif((n2 - tr * tr / n) / n, 0), 0), 1) AS shrinkage, tr / n AS mu FROM st, f)"""
 
 
 @query(f"{_LW} SELECT a, b, (1 - shrinkage) * v + CASE WHEN a = b THEN shrinkage * mu ELSE 0 END AS v FROM e, k", "v")

@@ -14,16 +14,23 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def windowed_totals(stream: DataFrame, time: str = "ts", key: str = "event_type", value: str = "value", size: str = "1 hour", slide: str | None = None, late: str = "10 minutes") -> DataFrame:
-    """Counts and sums per key and tumbling (or sliding) window; rows later than ``late`` are dropped."""
+def _marked(stream: DataFrame, time: str, late: str | None) -> DataFrame:
+    return stream.withWatermark(time, late) if late else stream
+
+
+def windowed_totals(stream: DataFrame, time: str = "ts", key: str = "event_type", value: str = "value", size: str = "1 hour", slide: str | None = None, late: str | None = "10 minutes") -> DataFrame:
+    """Counts and sums per key and tumbling (or sliding) window; rows later than ``late`` are dropped.
+
+    ``late`` is null where the stream has its watermark already, such as one of :func:`first_deliveries`.
+    """
     w = F.window(time, size, slide) if slide else F.window(time, size)
-    agg = stream.withWatermark(time, late).groupBy(w.alias("w"), F.col(key).alias("key")).agg(F.count(value).alias("n"), F.sum(value).alias("total"))
+    agg = _marked(stream, time, late).groupBy(w.alias("w"), F.col(key).alias("key")).agg(F.count(value).alias("n"), F.sum(value).alias("total"))
     return agg.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "key", "n", "total")
 
 
-def sessions(stream: DataFrame, time: str = "ts", key: str = "user_id", gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
+def sessions(stream: DataFrame, time: str = "ts", key: str = "user_id", gap: str = "30 minutes", late: str | None = "10 minutes") -> DataFrame:
     """Sessions of a key, closed by a gap."""
-    agg = stream.withWatermark(time, late).groupBy(F.session_window(time, gap).alias("w"), F.col(key).alias("key")).agg(F.count(F.lit(1)).alias("n"))
+    agg = _marked(stream, time, late).groupBy(F.session_window(time, gap).alias("w"), F.col(key).alias("key")).agg(F.count(F.lit(1)).alias("n"))
     return agg.select(F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "key", "n")
 
 
