@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.functions.exprs import strip
+from panelspark.plans.lineage import cut
 
 SHARE = 0.12  # share of values that has to depart; "about a sixth" less the noise of a load of some hundred rows
 MODE_SHARE = 0.15  # growth of the most frequent value's share, beyond three standard errors
@@ -28,7 +29,10 @@ def _pattern(v: Column, kind: str) -> Column:
     if kind == "number":
         digits = F.regexp_extract(v, r"\.(\d*?)0*$", 1)
         return F.when(v.rlike("[eE]"), "exponent").when(F.length(digits) <= 2, "up to 2 decimals").otherwise("more decimals")
-    shape = F.regexp_replace(F.regexp_replace(F.regexp_replace(v, r"\p{Lu}", "A"), r"\p{Ll}", "a"), r"\d", "9")
+    upper, lower, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    plain = F.translate(v, upper + lower + digits, "A" * 26 + "a" * 26 + "9" * 10)
+    other = F.regexp_replace(F.regexp_replace(plain, r"\p{Lu}", "A"), r"\p{Ll}", "a")
+    shape = F.when(F.length(v) == F.octet_length(v), plain).otherwise(other)  # letters beyond ASCII are rare and cost more
     short = F.regexp_replace(shape, r"(.)\1+", "$1+")
     return F.when(F.length(v) <= 24, shape).otherwise(F.substring(short, 1, 64))
 
@@ -86,13 +90,14 @@ def profile_loads(df: DataFrame, columns: dict[str, str], load: str = "load_id",
         F.max(F.when(some, F.col("k"))).alias("mode_n"),
         F.percentile("day", F.lit(0.5), F.col("k")).cast("int").alias("mid_day"),
     )
-    summary = summary.withColumn("m", F.col("n") - F.col("n_null")).withColumn("mode_share", F.try_divide("mode_n", "m"))
+    # a row per load and column; both this and the frequencies below are used several times
+    summary = cut(summary.withColumn("m", F.col("n") - F.col("n_null")).withColumn("mode_share", F.try_divide("mode_n", "m")))
     # frequencies of patterns, bins and words; a date's bin is its distance from the load's middle day
     binned = counts.where(some).join(summary.select(*key, "mid_day", "m"), key)
     offset = F.greatest(F.least(F.col("day") - F.col("mid_day"), F.lit(4000)), F.lit(-4000))
     facet = lambda kind, f: F.when(f.isNotNull(), F.struct(F.lit(kind).alias("kind"), f.cast("string").alias("facet")))
     facets = F.array_compact(F.array(facet("pattern", F.col("pattern")), facet("bin", F.coalesce("bin", offset)), facet("word", F.col("word"))))
-    shares = binned.select(*key, "m", "k", F.explode(facets).alias("f")).groupBy(*key, "m", "f.kind", "f.facet").agg(F.sum("k").alias("k"))
+    shares = cut(binned.select(*key, "m", "k", F.explode(facets).alias("f")).groupBy(*key, "m", "f.kind", "f.facet").agg(F.sum("k").alias("k")))
     # one row per facet of a group: its share in every load that holds it, and zero in the others
     loads = summary.where("m > 0").groupBy("g", "c").agg(F.collect_set(F.struct("l", "m")).alias("loads"))
     grid = shares.groupBy("g", "c", "kind", "facet").agg(F.map_from_entries(F.collect_list(F.struct("l", (F.col("k") / F.col("m")).alias("s")))).alias("s")).join(loads, ["g", "c"])
