@@ -51,22 +51,22 @@ def mix_sources(
 
     sizes = counted.groupBy("source").agg(F.sum("n_tokens").alias("size"), F.count("*").alias("docs"))
     plan = listed.join(sizes, "source", "left").na.fill(0, ["size", "docs"])
-    plan = plan.crossJoin(sizes.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("budget")))  # one row
+    plan = plan.withColumn("budget", sizes.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("budget")).scalar())
     plan = plan.withColumn("target", F.col("share") * F.col("budget")).withColumn("short", F.col("size") * F.col("repeats") < F.col("target"))
     whole = F.when(F.col("short"), F.col("repeats")).otherwise(F.coalesce(F.floor(F.try_divide("target", "size")), F.lit(0)))
     plan = cut(plan.withColumn("whole", whole.cast("bigint")).withColumn("rest", F.when(F.col("short"), 0.0).otherwise(F.col("target") - F.col("whole") * F.col("size"))))
 
     # nested thresholds: prefix is the boundary bucket so far, rest what is still wanted inside it
-    limit = plan.select("source", F.lit(0).cast("bigint").alias("prefix"), "rest")
+    limit = plan.select("source", F.lit(0).cast("bigint").alias("prefix"), "rest", F.lit(0).cast("bigint").alias("t"))
     for level in range(LEVELS):
         shift = BITS * (LEVELS - 1 - level)
-        inside = counted.join(limit, "source").where(F.shiftright("h", shift + BITS) == F.col("prefix"))
+        inside = counted.join(limit.select("source", "prefix", "rest"), "source").where(F.shiftright("h", shift + BITS) == F.col("prefix"))
         buckets = inside.groupBy("source", "rest", F.shiftright("h", shift).alias("b")).agg(F.sum("n_tokens").alias("t"))
         w = Window.partitionBy("source").orderBy("b")  # at most 4,096 rows a source
         buckets = buckets.withColumn("upto", F.sum("t").over(w))
         # the first bucket that reaches beyond the rest; none if all of it fits
-        edge = buckets.where(F.col("upto") > F.col("rest")).groupBy("source").agg(F.min(F.struct("b", "t", "upto")).alias("e"))
-        limit = limit.select("source", "rest").join(edge, "source").select("source", F.col("e.b").alias("prefix"), (F.col("rest") - (F.col("e.upto") - F.col("e.t"))).alias("rest"), F.col("e.t").alias("t"))
+        edge = buckets.where(F.col("upto") > F.col("rest")).groupBy("source").agg(F.min(F.struct("b", "t", "upto", "rest")).alias("e"))
+        limit = edge.select("source", F.col("e.b").alias("prefix"), (F.col("e.rest") - (F.col("e.upto") - F.col("e.t"))).alias("rest"), F.col("e.t").alias("t"))
     # the last bucket, in practice one document, is taken if that comes nearer to the target
     limit = limit.select("source", F.when(F.col("t") - F.col("rest") < F.col("rest"), F.col("prefix") + 1).otherwise(F.col("prefix")).alias("below"))
     plan = cut(plan.join(limit, "source", "left"))
@@ -76,7 +76,7 @@ def mix_sources(
     taken = taken.select("doc_id", "source", "n_tokens", copies.cast("int").alias("copies")).where("copies > 0")
     used = taken.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("used_tokens"))
     report = plan.join(used, "source", "left").na.fill(0, ["used_tokens"])
-    report = report.crossJoin(used.agg(F.sum("used_tokens").alias("all_used")))  # one row
+    report = report.withColumn("all_used", used.agg(F.sum("used_tokens").alias("all_used")).scalar())
     report = report.select(
         "source", F.col("share").alias("target_share"), F.col("repeats").cast("int").alias("max_repeats"), F.col("docs").alias("n_docs"), F.col("size").alias("source_tokens"),
         F.col("target").alias("target_tokens"), "used_tokens", F.try_divide("used_tokens", "all_used").alias("reached_share"), "short",
