@@ -25,7 +25,7 @@ def grid(spark, d):
     return sw.expand_grid(spark, _GRID)
 
 
-@query(f"{_TRIALS} SELECT trial_id, CAST(pos AS BIGINT) AS pos, ret FROM tr", "ret")
+@query(f"{_TRIALS} SELECT trial_id, CAST(pos AS BIGINT) AS pos, ret FROM tr", "ret", 10)
 def sweep_returns(spark, d):
     return _sma_trials(spark, d).select("trial_id", F.col("pos").cast("bigint").alias("pos"), "ret")
 
@@ -326,7 +326,7 @@ def _levels(spark, d):
       k AS (SELECT *, phi > 0 AND phi < 1 AS ok, CASE WHEN phi > 0 AND phi < 1 THEN -ln(phi) END AS kappa FROM m)
       SELECT series_id, n_obs, phi, kappa, CASE WHEN ok THEN c / (1 - phi) END AS theta, CASE WHEN ok THEN sqrt((vy - phi * phi * vx) * 2 * kappa / (1 - phi * phi)) END AS sigma, ln(2) / kappa AS half_life, ok AS mean_reverting FROM k""",
     "phi kappa theta sigma half_life",
-    4,
+    2,
 )
 def ou_cal(spark, d):
     return proc.ou_calibrate(_levels(spark, d))

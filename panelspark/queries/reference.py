@@ -91,13 +91,14 @@ def cs_zscore(spark, d):
     f"""{ctes("signal")}, q AS (SELECT ts, count(value) AS m, quantile_cont(value, 0.05) AS lo, quantile_cont(value, 0.95) AS hi FROM signal GROUP BY 1)
       SELECT symbol, ts, CASE WHEN m >= 3 THEN greatest(least(value, hi), lo) END AS winsorized FROM signal JOIN q USING (ts)""",
     "winsorized",
+    10,
     dates="ts",
 )
 def cs_winsorize(spark, d):
     return panel.cs_winsorize(P.brand_signal(spark, d), 0.05, 0.95).select("symbol", "ts", "winsorized")
 
 
-@query(f"{ctes('signal')} SELECT symbol, ts, CASE WHEN count(value) OVER w > 1 THEN value - avg(value) OVER w END AS residual FROM signal WINDOW w AS (PARTITION BY ts)", "residual", dates="ts")
+@query(f"{ctes('signal')} SELECT symbol, ts, CASE WHEN count(value) OVER w > 1 THEN value - avg(value) OVER w END AS residual FROM signal WINDOW w AS (PARTITION BY ts)", "residual", 11, dates="ts")
 def cs_demean(spark, d):
     return panel.cs_neutralize(P.brand_signal(spark, d)).select("symbol", "ts", "residual")
 

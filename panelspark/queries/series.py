@@ -151,6 +151,7 @@ def ar1_neff(spark, d):
     f"""{ctes("sleeves")}, s AS (SELECT series_id, pos, ret, count(*) OVER (PARTITION BY series_id) AS n FROM sleeves), b AS (SELECT series_id, n, k, round_even(k * n / 32, 0) AS lo, round_even((k + 1) * n / 32, 0) AS hi FROM (SELECT DISTINCT series_id, n FROM s), (SELECT unnest(generate_series(0, 31)) AS k))
       SELECT s.series_id, CAST(k AS INTEGER) AS bucket, max(pos) AS i, max_by(ret, pos) AS v FROM s JOIN b ON s.series_id = b.series_id AND pos >= lo AND pos < hi GROUP BY 1, 2""",
     "v",
+    10,
 )
 def sketch_curve(spark, d):
     return perf.sketch(_sleeves(spark, d), points=32).select("series_id", "bucket", F.col("i").cast("bigint").alias("i"), "v")
