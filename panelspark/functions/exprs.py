@@ -21,13 +21,13 @@ def clean_symbol(c: Column) -> Column:
 
 def finite(c: Column) -> Column:
     """The value where it is a finite number, else null. NaN and infinities count as not measured."""
-    d = c.cast("double")
+    d = c.try_cast("double")
     return F.when(~F.isnan(d) & (F.abs(d) != F.lit(float("inf"))), d)
 
 
 def measured(c: Column) -> Column:
     """The value where it is neither null nor NaN, else null."""
-    d = c.cast("double")
+    d = c.try_cast("double")
     return F.when(~F.isnan(d), d)
 
 

@@ -21,6 +21,7 @@ from panelspark.functions.exprs import clean_symbol, finite
 WINDOW = 12  # rows of the Hankel matrix
 RANK = 2  # singular vectors kept
 ROUNDS = 12  # at most; most series settle sooner
+FLUSH = 200_000  # periods handed on at once; bounds a worker's memory
 SETTLED = 1e-3  # largest change of a filled value, in standard deviations of the known ones
 
 
@@ -58,8 +59,10 @@ def ssa_fill(value: np.ndarray, known: np.ndarray, window: int = WINDOW, rank: i
 
 
 def _fill_series(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = ("source", "slot_s", "value", "n", "filled")
     for pdf in batches:
-        parts: dict[str, list] = {c: [] for c in ("source", "slot_s", "value", "n", "filled")}
+        parts: dict[str, list] = {c: [] for c in names}
+        size = 0
         for source, grid, slots, values, counts in zip(pdf["source"], pdf["grid"], pdf["slots"], pdf["values"], pdf["counts"], strict=True):
             slots = np.asarray(slots, "int64")
             at = (slots - slots.min()) // grid
@@ -71,6 +74,10 @@ def _fill_series(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             parts["value"].append(ssa_fill(value, known))
             parts["n"].append(count)
             parts["filled"].append(~known)
+            size += n
+            if size >= FLUSH:
+                yield pd.DataFrame({c: np.concatenate(v) for c, v in parts.items()})
+                parts, size = {c: [] for c in names}, 0
         if parts["source"]:
             yield pd.DataFrame({c: np.concatenate(v) for c, v in parts.items()})
 
@@ -96,7 +103,7 @@ def regular_grid(
     rows = df.select(
         clean_symbol(F.col(source)).alias("source"),
         F.col(feed).alias("_f"),
-        F.floor(F.unix_micros(F.col(time).cast("timestamp")) / 1_000_000).cast("bigint").alias("t"),
+        F.floor(F.unix_micros(F.col(time).try_cast("timestamp")) / 1_000_000).cast("bigint").alias("t"),
         finite(F.col(value)).alias("v"),
     ).where("source IS NOT NULL AND t IS NOT NULL AND v IS NOT NULL")
     periods = feeds.where(F.col(grid) > 0).groupBy(F.col(feed).alias("_g")).agg(F.min(grid).cast("bigint").alias("grid"))

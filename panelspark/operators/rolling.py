@@ -28,7 +28,7 @@ def trailing_totals(
     if any(w < 1 for w in windows):
         raise ValueError("windows are whole numbers of days, 1 or more")
     v = measured(F.col(value))
-    rows = df.select(clean_symbol(F.col(entity)).alias("entity"), F.unix_date(F.col(time).cast("date")).alias("d"), v.alias("v"))
+    rows = df.select(clean_symbol(F.col(entity)).alias("entity"), F.unix_date(F.col(time).try_cast("date")).alias("d"), v.alias("v"))
     rows = rows.where("entity IS NOT NULL AND d IS NOT NULL AND v IS NOT NULL")
     days = rows.groupBy("entity", "d").agg(F.sum_distinct("v").alias("s1"), F.count_distinct("v").alias("c1"))
     w = Window.partitionBy("entity").orderBy("d")

@@ -21,7 +21,7 @@ RISK = 1e-4  # tail probability at which the fitted cutoff is taken
 CUTOFF_RANGE = (12.0, 15.0)  # usual moves; the fitted cutoff never leaves this range
 SIDE = 9  # readings that define the level on either side; a burst of up to SIDE // 2 + 1 can't shift it
 STUCK_RUN = 5  # readings in a run from which a repeated value counts as stuck
-STUCK_SHARE = 0.02  # of the usual move: changes up to this are none
+STUCK_SHARE = 0.03  # of the usual move: changes up to this are none
 RESTLESS = 0.1  # a source whose share of unchanged readings outside stuck runs is below this moves at nearly every reading
 SEASON_MIN = 30  # readings of a weekday from which its own level is trusted
 
@@ -134,10 +134,10 @@ def flag_readings(
     * ``score`` is the smaller distance from the level before and after, in usual moves; ``cutoff`` the source's own limit;
     * other columns are ignored, whatever their names.
     """
-    v = F.col(value).cast("double")
+    v = F.col(value).try_cast("double")
     rows = df.select(
         clean_symbol(F.col(source)).alias("source"),
-        F.unix_date(F.col(time).cast("date")).alias("day"),
+        F.unix_date(F.col(time).try_cast("date")).alias("day"),
         v.alias("v"),
         F.col(order).alias("o"),
     ).where("source IS NOT NULL AND day IS NOT NULL AND v IS NOT NULL")
