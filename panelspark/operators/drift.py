@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelspark.plans.lineage import cut
+
 BLOCK = 1024  # file numbers ranked together
 
 # --- fixed values: the target schema of a study ------------------------------------------------------------------
@@ -62,20 +64,20 @@ def _all_fields() -> Column:
 
 
 def _inventory(files: DataFrame) -> DataFrame:
-    """``stream_id, file_no, name, jtype``: every field of every readable file that has a stream and a number."""
+    """``stream_id, file_no, fields`` (name, jtype) of every readable file that has a stream and a number, written once."""
     known = files.where("stream_id IS NOT NULL AND file_no IS NOT NULL AND top IS NOT NULL")
     typed = F.transform(_all_fields(), lambda f: F.struct(f["name"].alias("name"), json_type(f["v"]).alias("jtype")))
-    return known.select("stream_id", "file_no", F.explode(typed).alias("f")).select("stream_id", "file_no", "f.name", "f.jtype")
+    return cut(known.select("stream_id", "file_no", typed.alias("fields")))
 
 
 def _ranked(files: DataFrame) -> DataFrame:
-    """``stream_id, file_no, rank, n``: position of each readable file in its stream, from 1, by counts per block of numbers."""
-    known = files.where("stream_id IS NOT NULL AND file_no IS NOT NULL AND top IS NOT NULL").select("stream_id", "file_no", F.floor(F.col("file_no") / BLOCK).alias("_k"))
+    """Adds ``rank, n``: position of each file in its stream, from 1, by counts per block of numbers."""
+    known = files.withColumn("_k", F.floor(F.col("file_no") / BLOCK))
     blocks = known.groupBy("stream_id", "_k").agg(F.count("*").alias("_c"))
     w = Window.partitionBy("stream_id")
     blocks = blocks.select("stream_id", "_k", (F.sum("_c").over(w.orderBy("_k")) - F.col("_c")).alias("_before"), F.sum("_c").over(w).alias("n"))
     local = F.row_number().over(Window.partitionBy("stream_id", "_k").orderBy("file_no"))
-    return known.withColumn("_l", local).join(blocks, ["stream_id", "_k"]).select("stream_id", "file_no", (F.col("_l") + F.col("_before")).alias("rank"), "n")
+    return known.withColumn("_l", local).join(blocks, ["stream_id", "_k"]).select(*files.columns, (F.col("_l") + F.col("_before")).alias("rank"), "n")
 
 
 def schema_changes(df: DataFrame, stream: str = "stream_id", no: str = "file_no", file_id: str = "file_id", received: str = "received_at", body: str = "body") -> DataFrame:
@@ -90,7 +92,8 @@ def schema_changes(df: DataFrame, stream: str = "stream_id", no: str = "file_no"
       rows with a null stream or number are left out; a stream of one file has no change; an empty table gives no rows.
     """
     files = _files(df, stream, no, file_id, received, body)
-    fields = _inventory(files).join(_ranked(files), ["stream_id", "file_no"])
+    ranked = _ranked(_inventory(files))
+    fields = ranked.select("stream_id", "file_no", "rank", "n", F.explode("fields").alias("f")).select("stream_id", "file_no", "rank", "n", "f.name", "f.jtype")
     at = lambda f, c: f(F.when(c, F.struct("rank", "file_no")))
     every = F.lit(True)
     by_type = fields.groupBy("stream_id", "name", "jtype").agg(F.max("n").alias("n"), F.count("*").alias("c"), F.min("rank").alias("lo"), F.max("rank").alias("hi"), at(F.min, every).alias("first"))
@@ -99,11 +102,11 @@ def schema_changes(df: DataFrame, stream: str = "stream_id", no: str = "file_no"
         F.max("n").alias("n"), F.sum("c").alias("c"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("first")["file_no"].alias("first_no"), ordered.alias("types")
     )  # at most five types a field
     parent = F.when(F.col("name").contains("."), F.substring_index("name", ".", 1)).otherwise("")
-    spans = spans.withColumn("parent", parent)
+    spans = cut(spans.withColumn("parent", parent))  # a row per stream and field, used by each kind of change
     late = spans.where("lo > 1 AND hi = n AND c = n - lo + 1").select("stream_id", F.col("lo").alias("rank"), F.col("first_no").alias("file_no"), F.col("name").alias("new"), "parent", F.try_element_at("types", F.lit(1))["jtype"].alias("jtype"))
     gone = spans.where("lo = 1 AND hi < n AND c = hi").select("stream_id", (F.col("hi") + 1).alias("rank"), F.col("name").alias("old"), "parent", F.try_element_at("types", F.lit(-1))["jtype"].alias("jtype"))
     # number of the first file without a removed field: the one at that rank
-    gone = gone.join(_ranked(files).select("stream_id", "rank", "file_no"), ["stream_id", "rank"])
+    gone = gone.join(ranked.select("stream_id", "rank", "file_no"), ["stream_id", "rank"])
     # pairs inside one file are few (the fields of one file): closest names first, each field in one pair
     pairs = gone.join(late.drop("file_no"), ["stream_id", "rank", "parent", "jtype"])
     near = F.levenshtein(F.lower("old"), F.lower("new"))
