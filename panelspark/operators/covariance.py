@@ -1,14 +1,16 @@
 """Covariance in long form ``a, b, v`` (a <= b) from a return panel, and what is computed on the small matrix.
 
-Pairs meet in an equi-join on the date, so the work is rows times names, never rows squared. The matrix of at most
-``MAX_NAMES`` names goes to the driver for spectra and allocation; more names are refused there.
+Dates are reduced to one matrix of products per task, which are added up. The matrix of at most ``MAX_NAMES`` names
+goes to the driver for spectra and allocation; more names are refused there.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -33,15 +35,46 @@ def _pairs(panel: DataFrame) -> DataFrame:
     return x.join(y, "t").where("a <= b")
 
 
+def gram(panel: DataFrame) -> DataFrame:
+    """``a, b, v`` (a <= b): sums over dates of products of two names' ``ret``.
+
+    Up to ``MAX_NAMES`` names, each task adds its dates' outer products into one matrix and hands on that alone, so the
+    shuffle holds matrices, not rows times pairs. More names meet in a join on the date. Missing entries count as zero.
+    """
+    names = [r[0] for r in panel.select("symbol").distinct().orderBy("symbol").limit(MAX_NAMES + 1).collect()]
+    if len(names) > MAX_NAMES:
+        return _pairs(panel).groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("v"))
+    at = {s: i for i, s in enumerate(names)}
+    vectors = panel.groupBy("t").agg(F.collect_list("symbol").alias("s"), F.collect_list("ret").alias("r"))  # one entry a name
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((len(names), len(names)))
+        for pdf in batches:
+            x = np.zeros((len(pdf), len(names)))
+            for k, (s, r) in enumerate(zip(pdf["s"], pdf["r"], strict=True)):
+                x[k, [at[n] for n in s]] = r
+            total += x.T @ x
+        i, j = np.triu_indices(len(names))
+        yield pd.DataFrame({"i": i.astype("int32"), "j": j.astype("int32"), "v": total[i, j]})
+
+    part = vectors.mapInPandas(run, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v"))
+    label = F.array(*map(F.lit, names)) if names else F.array().cast("array<string>")
+    return part.select(F.get(label, F.col("i")).alias("a"), F.get(label, F.col("j")).alias("b"), "v")
+
+
 def cov_sample(panel: DataFrame) -> DataFrame:
-    return _pairs(panel).groupBy("a", "b").agg(F.covar_pop("x", "y").alias("v"))
+    """Population covariance; every name has a return on every date (rule A)."""
+    centred = panel.withColumn("ret", F.col("ret") - F.avg("ret").over(Window.partitionBy("symbol")))
+    n = scalar(panel.agg(F.count_distinct("t").alias("n")))["n"]
+    return gram(centred).select("a", "b", (F.col("v") / n).alias("v"))
 
 
 def cov_ewma(panel: DataFrame, lam: float = 0.94) -> DataFrame:
     """Mean-zero, weights lam ** age normalised to sum to one."""
     last = scalar(panel.agg(F.max("t").alias("last")))["last"]
-    p = _pairs(panel).withColumn("w", F.pow(F.lit(float(lam)), last - F.col("t")))
-    return p.groupBy("a", "b").agg(F.try_divide(F.sum(F.col("w") * F.col("x") * F.col("y")), F.sum("w")).alias("v"))
+    weighted = panel.withColumn("w", F.pow(F.lit(float(lam)), last - F.col("t")))
+    total = scalar(weighted.select("t", "w").distinct().agg(F.sum("w").alias("w")))["w"]
+    return gram(weighted.withColumn("ret", F.col("ret") * F.sqrt("w"))).select("a", "b", (F.col("v") / total).alias("v"))
 
 
 def cov_ledoit_wolf(panel: DataFrame) -> tuple[DataFrame, DataFrame]:

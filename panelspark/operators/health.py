@@ -48,10 +48,12 @@ def profile(prices: DataFrame) -> DataFrame:
         "stale_names": ok & (F.col("n_stale_runs") > 0),
         "ends_early": ok & (F.col("last_ts") < F.col("panel_last")),
     }
-    # the least 24 names of each kind: bounded before they are gathered
-    ranked = h.select("*", *[F.row_number().over(Window.partitionBy(c).orderBy("symbol")).alias(f"_r_{k}") for k, c in kinds.items()])
-    names = lambda k, c: F.array_join(F.array_sort(F.collect_list(F.when(c & (F.col(f"_r_{k}") <= MAX_NAMED), F.col("symbol")))), ",").alias(k)
-    return ranked.agg(
+    # the least 24 names of each kind: the limit on the rank is applied before the shuffle, so no task holds all names
+    tagged = h.select("symbol", F.explode(F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in kinds.items()]))).alias("kind"))
+    least = tagged.withColumn("r", F.row_number().over(Window.partitionBy("kind").orderBy("symbol"))).where(F.col("r") <= MAX_NAMED)
+    listed = least.groupBy("kind").agg(F.array_join(F.array_sort(F.collect_list("symbol")), ",").alias("names"))
+    names = scalar(listed.agg(*[F.coalesce(F.max(F.when(F.col("kind") == k, F.col("names"))), F.lit("")).alias(k) for k in kinds]))
+    counts = h.agg(
         F.count("*").alias("n_names"),
         F.count_if(ok).alias("usable"),
         F.max(F.when(ok, F.col("n"))).alias("n_obs_max"),
@@ -59,8 +61,8 @@ def profile(prices: DataFrame) -> DataFrame:
         F.percentile(F.when(ok, F.col("n")), 0.5).alias("n_obs_median"),
         F.sum(F.when(ok, F.col("n_spikes"))).alias("n_spikes"),
         *[F.count_if(c).alias(f"n_{k}") for k, c in kinds.items()],
-        *[names(k, c) for k, c in kinds.items()],
     )
+    return counts.withColumn("names", names).select(*counts.columns, "names.*")
 
 
 def worst_moves(prices: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelspark.functions.exprs import div
+from panelspark.functions.exprs import div, scalar
 
 MIN_OBS, STABILITY_WINDOW, ZSCORE_WINDOW, TWIN, COMOVEMENT = 126, 60, 60, 0.99, 0.5
 
@@ -149,5 +149,4 @@ def pair_report(legs: DataFrame, significance: float = 0.05, max_half_life: floa
 def screen_pairs(prices: DataFrame, names: DataFrame | None = None, significance: float = 0.05) -> DataFrame:
     """Every pair of the names, by p-value, with ``expected_false``, the false positives that so many tests would give by chance."""
     r = pair_report(pair_legs(prices, names), significance)
-    tests = F.count("p_value").over(Window.partitionBy(F.lit(1)))  # one row a pair
-    return r.withColumn("expected_false", tests * significance)
+    return r.withColumn("expected_false", scalar(r.agg(F.count("p_value").alias("n")))["n"] * significance)

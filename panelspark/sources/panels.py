@@ -111,8 +111,19 @@ def load_delimited(spark: SparkSession, path: str, delimiter: str | None = None)
         return Panel(shape, wide_panel(rows, date, [c for c in columns if c != date and not c.startswith("_c")], "_o"))
     value = columns[0] if len(columns) == 1 else _first(columns, CLOSE_NAMES)
     got = rows.select(number(F.regexp_replace(F.col(value), "^﻿", "")).alias("value"), "_o").where("value IS NOT NULL")
-    pos = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("_o")) - 1  # one series, one file
-    return Panel("series", got.select(first.alias("series_id"), pos.alias("pos"), "value"))
+    return Panel("series", file_positions(got).select(first.alias("series_id"), "pos", "value"))
+
+
+def file_positions(rows: DataFrame) -> DataFrame:
+    """Adds ``pos``, the row's place in the file from 0: places inside each split of the scan plus the rows of the splits before.
+
+    ``_o`` is an increasing id whose upper bits are the split; the filter before it leaves gaps, which ranks close.
+    """
+    split = rows.withColumn("_p", F.shiftright("_o", 33))
+    sizes = split.groupBy("_p").agg(F.count("*").alias("_c"))
+    before = sizes.select(F.col("_p").alias("_q"), (F.sum("_c").over(Window.orderBy("_p")) - F.col("_c")).alias("_before"))  # a row per split
+    inside = F.row_number().over(Window.partitionBy("_p").orderBy("_o")) - 1
+    return split.withColumn("_i", inside).join(before, F.col("_p") == F.col("_q")).withColumn("pos", F.col("_i") + F.col("_before")).drop("_p", "_q", "_i", "_before")
 
 
 def _parses(text: str) -> bool:
