@@ -19,7 +19,7 @@ from panelspark.plans.lineage import cut
 SHARE = 0.12  # share of values that has to depart; "about a sixth" less the noise of a load of some hundred rows
 MODE_SHARE = 0.15  # growth of the most frequent value's share, beyond three standard errors
 DISTINCT = 0.4  # change of distinct values, as a logarithm, in number and per row
-GAP = 0.15  # gap between cumulated frequencies, beyond 1 / sqrt(rows)
+GAP = {"number": 0.15, "date": 0.35}  # gap between cumulated frequencies, beyond 1 / sqrt(rows); a load has few days, so theirs is coarse
 PSI = 0.25  # population stability index that counts as a shift, beyond its noise of 4 groups / rows
 BINS_BEYOND = 2  # bins outside the usual range that are still no departure
 LOG_BINS = 8  # bins per doubling of a number
@@ -156,7 +156,7 @@ def profile_loads(df: DataFrame, columns: dict[str, str], load: str = "load_id",
         "range": (F.col("outside_shift") > SHARE) | F.col("misdated"),
         "distinct": F.abs("distinct_shift") > DISTINCT,
         "mode": F.col("mode_shift") > MODE_SHARE + 3 * sd,
-        "distribution": (F.col("gap") > F.lit(GAP) + 1 / F.sqrt("m")) & (F.col("psi") > F.lit(PSI) + 4 / F.col("m")),
+        "distribution": (F.col("gap") > by_kind(lambda kind: F.lit(GAP.get(kind, 1.0))) + 1 / F.sqrt("m")) & (F.col("psi") > F.lit(PSI) + 4 / F.col("m")),
     }
     departs = F.array_compact(F.array(*[F.when((F.col("n_loads") > 1) & r, F.lit(name)) for name, r in reasons.items()]))
     back = lambda c: F.when(F.col(c) != "\u0000", F.col(c))

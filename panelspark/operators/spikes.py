@@ -91,14 +91,9 @@ def score_series(day: np.ndarray, value: np.ndarray) -> dict[str, np.ndarray]:
     fitted = pareto_cutoff(float(np.quantile(calm, 0.95)), calm, len(calm), RISK) if len(calm) >= 40 else np.nan
     cutoff = float(np.clip(CUTOFF_RANGE[1] if np.isnan(fitted) else fitted, *CUTOFF_RANGE))
     out["usual"][:], out["score"], out["cutoff"][:] = usual, score, cutoff
-    # a spike is a short burst beyond the cutoff that is both entered and left by a move of that size
-    beyond = score > cutoff
-    burst = np.cumsum(np.diff(beyond, prepend=False))
-    jump = np.concatenate([[np.inf], move / usual, [np.inf]])
-    for b in np.unique(burst[beyond]):
-        at = np.flatnonzero(burst == b)
-        if len(at) <= SIDE // 2 + 1 and min(jump[at[0]], jump[at[-1] + 1]) > cutoff:
-            out["spike"][at] = True
+    # a spike is a reading beyond the cutoff in a short burst, one that moves of that size begin and end
+    burst = np.concatenate([[0], np.cumsum(move / usual > cutoff)])
+    out["spike"] = (score > cutoff) & (np.bincount(burst)[burst] <= SIDE // 2 + 1)
     # stuck: runs of readings that repeat the one before
     same = np.concatenate([[False], move <= STUCK_SHARE * usual])
     run = np.cumsum(~same)
