@@ -26,7 +26,7 @@ OPERATIONS: dict[str, Callable] = {
     "compute.drawdown_anatomy": performance.drawdown_anatomy,
     "compute.overlap": performance.overlap,
     "compute.backtest": backtest.run_backtest,
-    "compute.score_backtest": backtest.cost_report,
+    "compute.score_backtest": backtest.score_backtest,
     "compute.cpcv": validation.cpcv,
     "compute.factors": factors.decompose,
     "compute.pairs": pairs.pair_report,

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.functions.exprs import clean_symbol, div
+from panelspark.operators.performance import ar1_effective_n, performance_report
+from panelspark.operators.validation import deflated_sharpe, min_track_record, verdict
 
 # --- fixed values: weights that spelled-out actions stand for ------------------------------------------------------
 ACTIONS = {
@@ -214,3 +216,27 @@ def cost_report(ledger: DataFrame, initial_capital: float = 1e5, periods: int =
     u = ledger.where("kind = 'unwind'").groupBy("portfolio_id").agg(F.sum("notional").alias("unwound"))
     turn = (F.col("traded") + F.coalesce("unwound", F.lit(0.0))) / initial_capital
     return a.join(u, "portfolio_id", "left").select("portfolio_id", "total_cost", (F.col("total_cost") / initial_capital * 100).alias("cost_drag_pct"), turn.alias("turnover"), (turn * periods / F.col("n")).alias("annual_turnover"), "net_sharpe", "gross_sharpe")
+
+
+def score_backtest(ledger: DataFrame, n_trials: int | None = None, initial_capital: float = 1e5) -> DataFrame:
+    """One row per portfolio: performance, deflated Sharpe, track record, effective observations, trades and costs.
+
+    Without a recorded number of trials the deflated Sharpe is null and ``not_computed`` names it, as it names every
+    other figure that couldn't be measured; the verdict is then inconclusive at best.
+    """
+    returns = equity_returns(ledger)
+    r = performance_report(returns).join(ar1_effective_n(returns).select("series_id", "r1", "n_effective"), "series_id", "left")
+    r = r.join(min_track_record(returns).select("series_id", "min_length", "sufficient"), "series_id", "left")
+    if n_trials is None:
+        r = r.withColumn("deflated_sharpe", F.lit(None).cast("double"))
+    else:
+        r = r.join(deflated_sharpe(returns, n_trials).select("series_id", "deflated_sharpe"), "series_id", "left")
+    source = F.lit("not_recorded" if n_trials is None else "asserted")
+    portfolios = ledger.select(F.col("portfolio_id").alias("series_id")).distinct()
+    r = portfolios.join(r, "series_id", "left").withColumnRenamed("series_id", "portfolio_id")
+    r = r.join(trade_summary(ledger), "portfolio_id", "left").join(cost_report(ledger, initial_capital), "portfolio_id", "left")
+    t_stat = F.col("sharpe") * F.sqrt("n_effective")
+    missing = [F.when(F.col(c).isNull(), F.lit(c)) for c in ("sharpe", "deflated_sharpe", "min_length", "n_trades", "gross_sharpe")]
+    return r.select(
+        "*", t_stat.alias("t_stat"), (t_stat > 3).alias("passes_t3"), source.alias("n_trials_source"), verdict(F.col("deflated_sharpe"), F.lit(None).cast("double"), source).alias("verdict"), F.array_join(F.array_compact(F.array(*missing)), ",").alias("not_computed")
+    )

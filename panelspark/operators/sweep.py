@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelspark.functions.exprs import div, scalar
+from panelspark.operators.performance import performance_report
+from panelspark.operators.validation import deflated_sharpe, min_track_record, pbo, verdict
 
 
 def expand_grid(spark: SparkSession, grid: dict[str, list]) -> DataFrame:
@@ -118,3 +120,18 @@ def data_hash(df: DataFrame, columns: list[str]) -> DataFrame:
     """One row ``data_hash, n``: an identity of the rows whatever their order, from per-row digests that are added up."""
     digest = F.conv(F.substring(F.sha2(F.to_json(F.struct(*columns)), 256), 1, 15), 16, 10).cast("decimal(20,0)")
     return df.agg(F.substring(F.sha2(F.concat_ws(":", F.sum(digest).cast("string"), F.count("*").cast("string")), 256), 1, 16).alias("data_hash"), F.count("*").alias("n"))
+
+
+def sweep_verdict(grid: DataFrame, returns: DataFrame, splits: int = 10) -> DataFrame:
+    """One row on the best trial, deflated by the number of trials in the grid, failed ones included, with the spread of their Sharpes."""
+    trials = trial_sharpes(grid, returns)
+    best = sweep_best(trials).withColumn("spread", scalar(trials.agg(F.stddev_samp("sharpe").alias("s")))["s"])
+    found = best.first()  # one row
+    own = returns.where(F.col("trial_id") == F.lit(found["trial_id"])).select(F.lit("best").alias("series_id"), "pos", "ret")
+    d = deflated_sharpe(own, found["n_trials"], found["spread"]).select("series_id", "psr", "sr0", "deflated_sharpe")
+    p = performance_report(own).select("series_id", "sharpe_annualized", "max_drawdown_pct", "total_return_pct")
+    m = min_track_record(own).select("series_id", "min_length", "sufficient")
+    o = scalar(pbo(returns, splits))
+    r = d.join(p, "series_id", "left").join(m, "series_id", "left").withColumn("o", o)
+    source = F.lit("derived_from_grid")
+    return r.select(F.lit(found["trial_id"]).alias("trial_id"), F.lit(found["n_trials"]).alias("n_trials"), "psr", "sr0", "deflated_sharpe", "sharpe_annualized", "max_drawdown_pct", "total_return_pct", "min_length", "sufficient", F.col("o.pbo").alias("pbo"), verdict(F.col("deflated_sharpe"), F.col("o.pbo"), source).alias("verdict"))

@@ -126,3 +126,15 @@ def cpcv(series: DataFrame, **kw) -> DataFrame:
     )
     d = F.col("deflated_median")
     return r.withColumn("verdict", F.when((F.col("median") <= 0) | (d < 0.5), "likely_noise").when(d >= 0.9, "robust").otherwise("inconclusive"))
+
+
+def verdict(dsr: Column, overfit: Column, trials_source: Column) -> Column:
+    """likely_noise, inconclusive or edge; an edge needs a recorded count of trials. The order of the cases is the rule."""
+    return (
+        F.when(dsr.isNull(), "inconclusive")
+        .when(overfit > 0.5, "likely_noise")
+        .when(dsr < 0.5, "likely_noise")
+        .when(F.coalesce(trials_source, F.lit("not_recorded")) == "not_recorded", "inconclusive")
+        .when((dsr >= 0.9) & (F.coalesce(overfit, F.lit(0.0)) <= 0.2), "edge")
+        .otherwise("inconclusive")
+    )

@@ -58,6 +58,12 @@ def sweep_surface(spark, d):
     return sw.surface(_sharpes(spark, d), ("fast", "slow"))
 
 
+@query()
+def sweep_verdict(spark, d):
+    g = sw.sma_grid(spark, tuple(_GRID["fast"]), tuple(_GRID["slow"]))
+    return sw.sweep_verdict(g, _sma_trials(spark, d))
+
+
 @query()
 def sweep_python(spark, d):
     closes = [r["close"] for r in P.market_returns(spark, d).orderBy("pos").select("close").collect()]  # the data a user's function is given
@@ -139,6 +145,11 @@ def bt_run_open(spark, d):
     return bt.equity_returns(_ledger(spark, d, fill_timing="next_open", adv=volumes, participation=0.1))
 
 
+@query()
+def bt_score(spark, d):
+    return bt.score_backtest(_ledger(spark, d), n_trials=1)
+
+
 @query()
 def bt_trades(spark, d):
     return bt.trade_summary(_ledger(spark, d))

@@ -102,3 +102,25 @@ def test_walk_forward_and_hash(spark):
     assert [x.failed for x in w][:2] == ["window_too_short", None] and w[-1].n_is == 75 and w[-1].n_oos == 25 and len(w) == 10
     assert sw.data_hash(r, ["pos", "ret"]).first() == sw.data_hash(r.orderBy(F.desc("pos")), ["pos", "ret"]).first()
     assert sw.data_hash(r, ["pos", "ret"]).first() != sw.data_hash(r.limit(199), ["pos", "ret"]).first()
+
+
+def test_scores_name_what_they_lack(spark):
+    bars = [("A", f"{d:03d}", None, 100.0 + (d * 7 % 11)) for d in range(60)]
+    led = _run(spark, [("p", "A", "000", 1.0, None)], bars)
+    r = bt.score_backtest(led).first()
+    assert (r.verdict, r.n_trials_source) == ("inconclusive", "not_recorded") and "deflated_sharpe" in r.not_computed and "sharpe" not in r.not_computed.split(",")
+    assert bt.score_backtest(led, 3).first().deflated_sharpe is not None
+    assert bt.score_backtest(_run(spark, [("q", "A", "000", 1.0, None)], bars[:5])).first().sharpe is None
+
+
+def test_verdicts(spark):
+    cases = [(None, None, "x", "inconclusive"), (0.95, 0.6, "x", "likely_noise"), (0.4, 0.1, None, "likely_noise"), (0.95, 0.1, None, "inconclusive"), (0.95, 0.1, "derived", "edge"), (0.95, None, "derived", "edge"), (0.7, 0.1, "derived", "inconclusive")]
+    df = spark.createDataFrame(cases, "d double, p double, s string, want string")
+    assert all(r.got == r.want for r in df.select("want", sw.verdict(F.col("d"), F.col("p"), F.col("s")).alias("got")).collect())
+
+
+def test_the_verdict_of_a_sweep_counts_every_trial(spark):
+    rows = [(t, i, 0.002 * t + 0.01 * (((i * 7 + t) % 5) - 2)) for t in range(1, 5) for i in range(80)]
+    r = spark.createDataFrame(rows, "trial_id int, pos int, ret double")
+    v = sw.sweep_verdict(sw.expand_grid(spark, {"k": [0, 1, 2, 3, 4]}), r, 4).first()
+    assert v.n_trials == 5 and v.trial_id == 4 and v.verdict == "edge"
