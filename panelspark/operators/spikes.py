@@ -1,7 +1,7 @@
 """Problem 1: implausible readings, flagged by each source's own behaviour.
 
 Rows are first reduced to one reading per source and day (map-side combined), which bounds every group by the
-calendar whatever the number of rows a source delivers. Each series is then scored in one Arrow batch: the
+calendar whatever the number of rows a source delivers. Each series is then one row that holds its days in order, scored batch by batch without pandas: the
 distance of a reading from the level before and after it, free of its weekday effect and in units of the
 source's usual move, is judged against a tail cutoff from a peaks-over-threshold fit (generalised Pareto,
 L-moments) at a fixed risk; rules for impossible values and for the duration of stuck values are added.
@@ -10,8 +10,10 @@ L-moments) at a fixed risk; rules for impossible values and for the duration of
 from __future__ import annotations
 
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +28,13 @@ RESTLESS = 0.1  # a source whose share of unchanged readings outside stuck runs
 SEASON_MIN = 30  # readings of a weekday from which its own level is trusted
 
 
+def _growing_medians(x: np.ndarray) -> np.ndarray:
+    """Medians of the first 1, 2, ... values."""
+    k = np.arange(len(x))
+    ordered = np.sort(np.where(k[None, :] <= k[:, None], x[None, :], np.inf), axis=1)
+    return (ordered[k, k // 2] + ordered[k, (k + 1) // 2]) / 2
+
+
 def _side_medians(x: np.ndarray, side: int) -> tuple[np.ndarray, np.ndarray]:
     """Median of up to ``side`` values before and after each position; NaN where there are none."""
     n = len(x)
@@ -34,9 +43,9 @@ def _side_medians(x: np.ndarray, side: int) -> tuple[np.ndarray, np.ndarray]:
         mid = np.median(np.lib.stride_tricks.sliding_window_view(x, side), axis=1)
         before[side:] = mid[: n - side]
         after[: n - side] = mid[1:]
-    for i in range(1, min(side, n)):
-        before[i] = np.median(x[max(0, i - side) : i])
-        after[n - 1 - i] = np.median(x[n - i : n - i + side])
+    k = min(side, n)
+    before[1:k] = _growing_medians(x[: k - 1])
+    after[n - k : n - 1] = _growing_medians(x[::-1][: k - 1])[::-1]
     return before, after
 
 
@@ -104,17 +113,24 @@ def score_series(day: np.ndarray, value: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-def _score_groups(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("day", ignore_index=True)
-    good = pdf["value"].to_numpy("float64")
-    ok = np.isfinite(good) & (good > 0)
-    got = score_series(pdf["day"].to_numpy("int64")[ok], good[ok])
-    res = pdf[["source", "day", "value", "implausible"]].copy()
-    for k, v in got.items():
-        full = np.zeros(len(pdf), bool) if v.dtype == bool else np.full(len(pdf), np.nan)
-        full[ok] = v
-        res[k] = full
-    return res
+RESULT = {"day": pa.int32(), "value": pa.float64(), "implausible": pa.bool_(), **dict.fromkeys(("usual", "score", "cutoff"), pa.float64()), "spike": pa.bool_(), "stuck": pa.bool_()}
+
+
+def _score_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (source, list of day, value, implausible in order of days) to one row per reading."""
+    for batch in batches:
+        lists = batch.column(1)
+        flat = lists.flatten()
+        ends = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        day, value = (flat.field(i).to_numpy(zero_copy_only=False).astype(t) for i, t in ((0, "int64"), (1, "float64")))
+        ok = np.isfinite(value) & (value > 0)
+        got = {k: np.zeros(len(day), bool) if t == pa.bool_() else np.full(len(day), np.nan) for k, t in RESULT.items() if k not in ("day", "value", "implausible")}
+        for a, b in zip(ends[:-1], ends[1:], strict=True):
+            at = a + np.flatnonzero(ok[a:b])
+            for k, v in score_series(day[at], value[at]).items():
+                got[k][at] = v
+        source = batch.column(0).take(pa.array(np.repeat(np.arange(len(lists)), np.diff(ends))))
+        yield pa.RecordBatch.from_arrays([source, flat.field(0), flat.field(1), flat.field(2), *[pa.array(v, RESULT[k]) for k, v in got.items()]], ["source", *RESULT])
 
 
 def flag_readings(
@@ -141,9 +157,9 @@ def flag_readings(
         F.max(F.when(good, F.struct("o", "v"))).getField("v").alias("value"),
         F.bool_or(~good).alias("implausible"),
     )
-    scored = days.groupBy("source").applyInPandas(
-        _score_groups,
-        "source string, day int, value double, implausible boolean, usual double, score double, cutoff double, spike boolean, stuck boolean",
+    series = days.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("day", "value", "implausible"))).alias("s"))
+    scored = series.mapInArrow(
+        _score_batches, "source string, day int, value double, implausible boolean, usual double, score double, cutoff double, spike boolean, stuck boolean"
     )
     return scored.select(
         "source",
