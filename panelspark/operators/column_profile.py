@@ -25,10 +25,12 @@ BINS_BEYOND = 2  # bins outside the usual range that are still no departure
 LOG_BINS = 8  # bins per doubling of a number
 
 
-def _pattern(v: Column, kind: str) -> Column:
-    if kind == "number":
-        digits = F.regexp_extract(v, r"\.(\d*?)0*$", 1)
-        return F.when(v.rlike("[eE]"), "exponent").when(F.length(digits) <= 2, "up to 2 decimals").otherwise("more decimals")
+def _number_pattern(x: Column) -> Column:
+    cents = x * 100
+    return F.when(F.isnan(x) | (F.abs(x) == float("inf")), "not finite").when(F.abs(cents - F.rint(cents)) < 1e-6, "up to 2 decimals").otherwise("more decimals")
+
+
+def _pattern(v: Column) -> Column:
     upper, lower, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
     plain = F.translate(v, upper + lower + digits, "A" * 26 + "a" * 26 + "9" * 10)
     other = F.regexp_replace(F.regexp_replace(plain, r"\p{Lu}", "A"), r"\p{Ll}", "a")
@@ -40,7 +42,7 @@ def _pattern(v: Column, kind: str) -> Column:
 def _number_bin(x: Column) -> Column:
     """Signed logarithmic bin; 0 for zero, null for NaN and infinities (a pattern of their own)."""
     size = F.greatest(F.floor(F.log2(F.abs(x)) * LOG_BINS) + 1000 * LOG_BINS, F.lit(1)).cast("int")
-    return F.when(F.isnan(x) | (F.abs(x) == float("inf")), None).when(x == 0, 0).when(x > 0, size).otherwise(-size)
+    return F.when(F.isnan(x) | (F.abs(x) == float("inf")), None).when(x == 0, 0).when(x > 0, size).when(x < 0, -size)
 
 
 def profile_loads(df: DataFrame, columns: dict[str, str], load: str = "load_id", group: str = "vendor_id") -> DataFrame:
@@ -50,16 +52,23 @@ def profile_loads(df: DataFrame, columns: dict[str, str], load: str = "load_id",
     load_id, column_name, n, n_null, n_distinct, least, greatest, mode_share, null_shift, pattern_shift, unseen_share,
     outside_share, distinct_shift, gap, psi, departs`` (an array, empty where nothing departs).
 
-    * NaN is a value of its own pattern, not null; blank texts are values; symbols differ by spelling only in pattern;
+    * NaN is a value of its own pattern, not null; text in a number's column that is no number is a value by its own pattern; blank texts are values; symbols differ by spelling only in pattern;
     * a load is one of its group; rows with a null load or group form a load or group of their own;
     * a group with a single load has nothing to compare with, so nothing departs; repeated rows count as often as they come;
     * an empty table gives no rows; a column that is null throughout has null ``least``, ``greatest`` and ``mode_share``;
     * columns not named are ignored, whatever their names.
     """
-    long = df.select(
-        F.col(group).alias("g"), F.col(load).alias("l"), F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in columns])).alias("x")
-    ).select("g", "l", "x.c", "x.v")
-    counts = long.groupBy("g", "l", "c", "v").agg(F.count("*").alias("k"))
+    def cell(name: str, kind: str) -> Column:
+        """Numbers stay numbers (x), all else is text (v)."""
+        if kind != "number":
+            return F.struct(F.lit(name).alias("c"), F.col(name).cast("string").alias("v"), F.lit(None).cast("double").alias("x"))
+        x = F.col(name).try_cast("double")
+        text = F.when(x.isNull(), F.col(name)) if df.schema[name].dataType.simpleString() == "string" else F.lit(None).cast("string")
+        return F.struct(F.lit(name).alias("c"), text.alias("v"), x.alias("x"))
+
+    each = F.explode(F.array(*[cell(c, kind) for c, kind in columns.items()]))
+    long = df.select(F.col(group).alias("g"), F.col(load).alias("l"), each.alias("e")).select("g", "l", "e.c", "e.v", "e.x")
+    counts = long.groupBy("g", "l", "c", "v", "x").agg(F.count("*").alias("k"))
 
     def by_kind(f) -> Column:
         out = F.lit(None)
@@ -69,24 +78,24 @@ def profile_loads(df: DataFrame, columns: dict[str, str], load: str = "load_id",
 
     key = ["g", "l", "c"]
     null_key = lambda k: F.coalesce(F.col(k).cast("string"), F.lit("\u0000"))
-    counts = counts.select(null_key("g").alias("g"), null_key("l").alias("l"), "c", "v", "k")
-    x = F.col("v").try_cast("double")
+    counts = counts.select(null_key("g").alias("g"), null_key("l").alias("l"), "c", "v", "x", "k")
+    x = F.col("x")
     day = F.when(F.col("v").rlike(r"^\d{4}-\d{2}-\d{2}"), F.unix_date(F.substring("v", 1, 10).try_cast("date")))
     counts = counts.select(
         "*",
-        by_kind(lambda kind: _pattern(F.col("v"), kind)).alias("pattern"),
-        by_kind(lambda kind: _number_bin(x) if kind == "number" else F.lit(None).cast("int")).alias("bin"),
+        F.when(x.isNotNull(), _number_pattern(x)).otherwise(_pattern(F.col("v"))).alias("pattern"),
+        _number_bin(x).alias("bin"),
         by_kind(lambda kind: day if kind == "date" else F.lit(None).cast("int")).alias("day"),
         by_kind(lambda kind: F.upper(strip(F.col("v"))) if kind == "text" else F.lit(None).cast("string")).alias("word"),
-        by_kind(lambda kind: x if kind == "number" else F.lit(None).cast("double")).alias("x"),
     )
-    some = F.col("v").isNotNull()
+    some = F.col("v").isNotNull() | x.isNotNull()
+    finite = F.when(~F.isnan(x), x)
     summary = counts.groupBy(*key).agg(
         F.sum("k").alias("n"),
         F.coalesce(F.sum(F.when(~some, F.col("k"))), F.lit(0)).alias("n_null"),
-        F.count("v").alias("n_distinct"),
-        F.coalesce(F.min("x").cast("string"), F.min("v")).alias("least"),
-        F.coalesce(F.max("x").cast("string"), F.max("v")).alias("greatest"),
+        F.count_if(some).alias("n_distinct"),
+        F.coalesce(F.min(finite).cast("string"), F.min("v")).alias("least"),
+        F.coalesce(F.max(finite).cast("string"), F.max("v")).alias("greatest"),
         F.max(F.when(some, F.col("k"))).alias("mode_n"),
         F.percentile("day", F.lit(0.5), F.col("k")).cast("int").alias("mid_day"),
     )
