@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.functions.exprs import strip
+from panelspark.plans.local import local_table
 
 # --- fixed values: header names of the three columns, spellings of a missing number, delimiters ------------------
 DATE_NAMES = ["date", "time", "timestamp", "dt", "day", "asof", "as_of"]
@@ -125,7 +126,7 @@ def parse_lines(
     parsed = F.array(*[cell(r, first(r)) for r in ("date", "symbol", "close")])
     long = body.select("line_id", F.explode(F.when(F.col("_q") & F.col("_w"), parsed).otherwise(whole)).alias("x")).select("line_id", "x.role", "x.value")
     spark = df.sparkSession
-    rules = spark.createDataFrame([(role or "line", reason, k) for k, (reason, role) in enumerate(RULES)], "rule_role string, reason string, precedence int")
+    rules = local_table(spark, [(role or "line", reason, k) for k, (reason, role) in enumerate(RULES)], "rule_role string, reason string, precedence int")
     broken = (
         F.when(F.col("reason") == "quoting", F.col("value") == "quotes")
         .when(F.col("reason") == "column_count", F.col("value") == "columns")

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from panelspark.functions.exprs import div, scalar
 from panelspark.operators.performance import performance_report
 from panelspark.operators.validation import deflated_sharpe, min_track_record, pbo, verdict
+from panelspark.plans.local import local_table
 
 
 def expand_grid(spark: SparkSession, grid: dict[str, list]) -> DataFrame:
@@ -28,12 +29,12 @@ def expand_grid(spark: SparkSession, grid: dict[str, list]) -> DataFrame:
     names = sorted(grid)
     rows = [dict(zip(names, v, strict=True)) for v in itertools.product(*[grid[n] for n in names])]
     digest = lambda p: hashlib.sha256(json.dumps(p, sort_keys=True).encode()).hexdigest()[:12]
-    return spark.createDataFrame([(i, json.dumps(p, sort_keys=True), digest(p)) for i, p in enumerate(rows)], "trial_id int, params string, params_hash string")
+    return local_table(spark, [(i, json.dumps(p, sort_keys=True), digest(p)) for i, p in enumerate(rows)], "trial_id int, params string, params_hash string")
 
 
 def sma_grid(spark: SparkSession, fast: tuple[int, ...], slow: tuple[int, ...]) -> DataFrame:
     pairs = [(i, f, s) for i, (f, s) in enumerate((f, s) for f in sorted(fast) for s in sorted(slow) if f < s)]
-    return spark.createDataFrame(pairs, "trial_id int, fast int, slow int")
+    return local_table(spark, pairs, "trial_id int, fast int, slow int")
 
 
 def sma_cross(levels: DataFrame, grid: DataFrame, start: int) -> DataFrame:

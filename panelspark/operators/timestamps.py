@@ -10,12 +10,14 @@ are tables of a few rows per feed or zone, which Catalyst broadcasts by their si
 from __future__ import annotations
 
 import datetime as dt
+import functools
 import zoneinfo
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelspark.functions.exprs import strip
+from panelspark.plans.local import local_table
 
 # --- fixed values: names of months in English, German, French, Portuguese ---------------------------------------
 MONTHS = [
@@ -56,14 +58,18 @@ CASCADE = [
 ]
 
 
+@functools.cache
+def _zone_rows() -> list[tuple]:
+    return [(z.lower(), z) for z in sorted(zoneinfo.available_timezones()) if "/" in z or z in ("UTC", "GMT")]
+
+
 def zone_table(spark: SparkSession) -> DataFrame:
-    """Every public zone name, by its lower-case form. Some 600 rows, bounded by the tz database."""
-    rows = [(z.lower(), z) for z in sorted(zoneinfo.available_timezones()) if "/" in z or z in ("UTC", "GMT")]
-    return spark.createDataFrame(rows, "zone_key string, zone_name string")
+    """Every public zone name, by its lower-case form. Some 600 rows, bounded by the tz database; a local relation of known size."""
+    return local_table(spark, _zone_rows(), "zone_key string, zone_name string")
 
 
-def abbreviation_table(spark: SparkSession) -> DataFrame:
-    """Offsets of the alphabetic abbreviations of each zone since 1990, derived from the tz database's own rules."""
+@functools.cache
+def _abbreviation_rows() -> list[tuple]:
     rows = set()
     for z in zoneinfo.available_timezones():
         if "/" not in z:
@@ -74,7 +80,12 @@ def abbreviation_table(spark: SparkSession) -> DataFrame:
             if at.tzname().isalpha():
                 seen[at.tzname().lower()] = int(at.utcoffset().total_seconds())
         rows |= {(z, a, s) for a, s in seen.items()}
-    return spark.createDataFrame(sorted(rows), "abbr_zone string, abbr string, abbr_offset int")
+    return sorted(rows)
+
+
+def abbreviation_table(spark: SparkSession) -> DataFrame:
+    """Offsets of the alphabetic abbreviations of each zone since 1990, derived from the tz database's own rules."""
+    return local_table(spark, _abbreviation_rows(), "abbr_zone string, abbr string, abbr_offset int")
 
 
 def _cascade(text: Column) -> Column:

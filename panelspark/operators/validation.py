@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from panelspark.functions.exprs import array_split_segment, div, kurt_unbiased, normal_cdf, skew_unbiased
 from panelspark.operators.performance import YEAR, _clean
+from panelspark.plans.local import local_table
 
 EULER_GAMMA = 0.5772156649015329
 
@@ -76,7 +77,8 @@ def _combinations(spark: SparkSession, n: int, k: int, at_most: int) -> DataFram
     combos = list(itertools.combinations(range(n), k))
     if len(combos) > at_most:
         combos = combos[:: max(1, len(combos) // at_most)][:at_most]
-    return spark.createDataFrame([(i, b, b in c) for i, c in enumerate(combos) for b in range(n)], "combo int, block int, inside boolean")
+    rows = [(i, b, b in c) for i, c in enumerate(combos) for b in range(n)]
+    return local_table(spark, rows, "combo int, block int, inside boolean")
 
 
 def pbo_logits(trials: DataFrame, splits: int = 10, at_most: int = 2000) -> DataFrame:
