@@ -98,10 +98,10 @@ def cut_positions(grade: np.ndarray, limit: int, overlap: int) -> list[tuple[int
 
 def split_text(enc: Encoder, text: str, limit: int | None, overlap: int) -> tuple[int, list[tuple[int, int, int, int, str]]]:
     """Tokens of the text, and its pieces as (tokens, first character, end, tokens shared with the one before, grade of its end)."""
-    parts = list(enc.pieces(text))
-    total = sum(len(ids) for _, ids in parts)
+    total = enc.count(text)
     if limit is None or total <= limit:
         return total, [(total, 0, len(text), 0, "end")]
+    parts = list(enc.pieces(text))
     data = np.frombuffer(text.encode("utf-8", "replace"), "uint8")
     sizes = np.fromiter((len(enc.bytes[i]) for _, ids in parts for i in ids), "int64", total)
     offset = np.concatenate([[0], np.cumsum(sizes)])
