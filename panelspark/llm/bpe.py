@@ -12,9 +12,10 @@ from __future__ import annotations
 
 import json
 import sys
-from collections.abc import Iterable
+from itertools import chain
 
 import ahocorasick
+import numpy as np
 import regex
 
 #: splits a text before the merges; fixed value of the public tokenizer
@@ -42,6 +43,9 @@ class Encoder:
         vocab = {to_bytes(s): i for s, i in model["vocab"].items() if all(c in letters for c in s)}
         self.vocab = vocab
         self.bytes = {i: b for b, i in vocab.items()}
+        #: bytes of each token by its id
+        self.sizes = np.zeros(max(self.bytes, default=-1) + 1, "int64")
+        self.sizes[list(self.bytes)] = [len(b) for b in self.bytes.values()]
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         #: (left, right) -> (rank, merged); and the merge that makes a token, the earliest if there are several
         self.merge: dict[tuple[int, int], tuple[int, int]] = {}
@@ -121,38 +125,31 @@ class Encoder:
         ids.reverse()
         return ids
 
-    def pieces(self, text: str) -> Iterable[tuple[str, tuple[int, ...]]]:
-        """The text's pieces and their ids, in order; joined, the pieces are the text."""
+    def _learn(self, piece: str) -> tuple[int, ...]:
+        ids = self._known.get(piece)
+        if ids is None:
+            ids = tuple(self.encode_piece(piece.encode("utf-8", "replace")))
+            if len(piece) <= 64:  # longer ones hardly come again
+                if len(self._known) >= REMEMBER:
+                    self._known.clear()
+                self._known[piece] = ids
+        return ids
+
+    def pieces(self, text: str) -> tuple[list[str], list[tuple[int, ...]]]:
+        """The text's pieces and the ids of each, in order; joined, the pieces are the text."""
+        parts = self.split(text)
         known = self._known
-        for piece in self.split(text):
-            ids = known.get(piece)
-            if ids is None:
-                ids = tuple(self.encode_piece(piece.encode("utf-8", "replace")))
-                if len(piece) <= 64:  # longer ones hardly come again
-                    if len(known) >= REMEMBER:
-                        known.clear()
-                    known[piece] = ids
-            yield piece, ids
+        ids = [known.get(p) for p in parts]
+        if None in ids:
+            ids = [self._learn(p) if i is None else i for p, i in zip(parts, ids, strict=True)]
+        return parts, ids
 
     def encode(self, text: str | None) -> list[int]:
         """Ids without special tokens, whose strings are ordinary text; of a null or empty text an empty list."""
-        out: list[int] = []
-        known = self._known
-        for piece in self.split(text) if text else ():
-            ids = known.get(piece)
-            if ids is None:
-                for _, ids in self.pieces(piece):
-                    out.extend(ids)
-            else:
-                out.extend(ids)
-        return out
+        return list(chain.from_iterable(self.pieces(text)[1])) if text else []
 
     def count(self, text: str | None) -> int:
-        known, n = self._known, 0
-        for piece in self.split(text) if text else ():
-            ids = known.get(piece)
-            n += len(ids) if ids is not None else sum(len(i) for _, i in self.pieces(piece))
-        return n
+        return sum(map(len, self.pieces(text)[1])) if text else 0
 
 
 def encoder(raw: bytes) -> Encoder:

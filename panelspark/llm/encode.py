@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -42,8 +43,8 @@ def encode_corpus(df: DataFrame, doc_id: str = "doc_id", text: str = "text", tok
         enc = get()
 
         def pack(keys: pa.Array, lists: list[list[int]]) -> pa.RecordBatch:
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype("int32")
-            flat = np.fromiter((i for x in lists for i in x), "int32", int(offsets[-1]))
+            offsets = np.concatenate([[0], np.cumsum(list(map(len, lists)))]).astype("int32")
+            flat = np.fromiter(chain.from_iterable(lists), "int32", int(offsets[-1]))
             return pa.RecordBatch.from_arrays([keys, pa.ListArray.from_arrays(offsets, flat)], ["doc_id", "ids"])
 
         for batch in batches:

@@ -10,6 +10,7 @@ the program stays small for prose and still covers runs without a break. One pas
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -98,14 +99,15 @@ def cut_positions(grade: np.ndarray, limit: int, overlap: int) -> list[tuple[int
 
 def split_text(enc: Encoder, text: str, limit: int | None, overlap: int) -> tuple[int, list[tuple[int, int, int, int, str]]]:
     """Tokens of the text, and its pieces as (tokens, first character, end, tokens shared with the one before, grade of its end)."""
-    total = enc.count(text)
+    _, ids = enc.pieces(text)
+    lengths = np.fromiter(map(len, ids), "int64", len(ids))
+    total = int(lengths.sum())
     if limit is None or total <= limit:
         return total, [(total, 0, len(text), 0, "end")]
-    parts = list(enc.pieces(text))
     data = np.frombuffer(text.encode("utf-8", "replace"), "uint8")
-    sizes = np.fromiter((len(enc.bytes[i]) for _, ids in parts for i in ids), "int64", total)
+    sizes = enc.sizes[np.fromiter(chain.from_iterable(ids), "int64", total)]
     offset = np.concatenate([[0], np.cumsum(sizes)])
-    piece_start = np.concatenate([[0], np.cumsum([len(ids) for _, ids in parts])])
+    piece_start = np.concatenate([[0], np.cumsum(lengths)])
     grade = _graded(data, offset, piece_start)
     grade[0] = grade[-1] = 0
     chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])  # characters before each byte
