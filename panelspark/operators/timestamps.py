@@ -38,7 +38,7 @@ MONTHS = [
 
 TIME = r"(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d{1,12}))?)?"
 AMPM = r"(?: ?([ap]m)(?![a-z]))?"
-ZONE = r"(?: ?(z|(?:utc|gmt)?[+-]\d{2}:?\d{2}|[a-z]{2,5}|[a-z]+(?:/[a-z0-9_+-]+)+))?(?:\[([^\]]+)\])?"
+ZONE = r"(?: ?(z|(?:utc|gmt)?[+-]\d{2}(?::?\d{2})?|[a-z]{2,5}|[a-z]+(?:/[a-z0-9_+-]+)+))?(?:\[([^\]]+)\])?"
 CLOCK = TIME + AMPM + "(?: uhr)?" + ZONE
 
 #: name, pattern over the stripped lower-cased text, canonical parts
@@ -105,9 +105,9 @@ def _format_name(text: Column) -> Column:
 
 
 def _offset_seconds(z: Column) -> Column:
-    """Seconds of ``+hh:mm``, ``+hhmm`` and the same after utc or gmt; null outside 18 hours or 59 minutes."""
-    h = F.regexp_extract(z, r"([+-])(\d{2}):?(\d{2})$", 2).try_cast("int")
-    m = F.regexp_extract(z, r"([+-])(\d{2}):?(\d{2})$", 3).try_cast("int")
+    """Seconds of ``+hh:mm``, ``+hhmm``, ``+hh`` and the same after utc or gmt; null outside 18 hours or 59 minutes."""
+    h = F.regexp_extract(z, r"([+-])(\d{2})(?::?(\d{2}))?$", 2).try_cast("int")
+    m = F.coalesce(F.regexp_extract(z, r"([+-])(\d{2})(?::?(\d{2}))?$", 3).try_cast("int"), F.lit(0))
     s = h * 3600 + m * 60
     return F.when((m < 60) & (s <= 18 * 3600), F.when(z.contains("-"), -s).otherwise(s))
 
