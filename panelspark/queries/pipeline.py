@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from panelspark.operators.column_profile import profile_loads
 from panelspark.operators.drift import read_studies, schema_changes
 from panelspark.operators.grid import regular_grid
-from panelspark.operators.parse_rows import parse_lines
+from panelspark.operators.parse_rows import CLOSE_NAMES, DATE_NAMES, DELIMITERS, MISSING, SYMBOL_NAMES, parse_lines
 from panelspark.operators.rolling import trailing_totals
 from panelspark.operators.spikes import flag_readings
 from panelspark.operators.timestamps import normalise_timestamps
@@ -114,3 +114,54 @@ ORACLE: dict[str, str] = {
       grid AS (SELECT symbol, unnest(generate_series(a, z, g)) AS slot_s FROM days)
       SELECT symbol, slot_s FROM grid EXCEPT SELECT symbol, slot_s FROM slots""",
 }
+
+
+def _cells(d: str, line: str) -> str:
+    c = {"\t": r"\t", "|": r"\|"}.get(d, d)
+    raw = f"""regexp_extract_all('{d}' || {line}, '{c}("[^"]*(?:""[^"]*)*"|[^{c}"]*)', 1)"""
+    return f"""list_transform({raw}, lambda x: CASE WHEN starts_with(x, '"') THEN replace(substr(x, 2, length(x) - 2), '""', '"') ELSE x END)"""
+
+
+def _quoted(d: str, line: str) -> str:
+    c = {"\t": r"\t", "|": r"\|"}.get(d, d)
+    field = f"""(?:"[^"]*(?:""[^"]*)*"|[^{c}"]*)"""
+    return f"regexp_full_match({line}, '{field}(?:{c}{field})*')"
+
+
+def _each(f, line: str) -> str:
+    return "CASE " + " ".join(f"WHEN d = '{d}' THEN {f(d, line)}" for d in DELIMITERS) + " END"
+
+
+def _in(names: list[str]) -> str:
+    return "(" + ", ".join(f"'{n}'" for n in names) + ")"
+
+
+_TRIM = "trim({}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160) || chr(65279))"
+_ROLE = f"CASE WHEN n IN {_in(DATE_NAMES)} THEN 'date' WHEN n IN {_in(SYMBOL_NAMES)} THEN 'symbol' WHEN n IN {_in(CLOSE_NAMES)} THEN 'close' END"
+_COUNTS = "[" + ", ".join(f"{{'k': length(b) - length(replace(b, '{d}', '')), 'i': {-i}, 'd': '{d}'}}" for i, d in enumerate(DELIMITERS)) + "]"
+
+ORACLE["p3_found"] = f"""WITH t AS (SELECT line_id, file_id, line_no, regexp_replace(regexp_replace(line, chr(13) || '$', ''), '^' || chr(65279), '') AS t FROM long_lines),
+  h AS (SELECT file_id, arg_min(t, line_id) AS h FROM t WHERE line_no = 1 GROUP BY 1), b AS (SELECT file_id, h, regexp_replace(h, '"[^"]*(?:""[^"]*)*"', '', 'g') AS b FROM h),
+  e AS (SELECT file_id, h, list_max({_COUNTS}).d AS d FROM b), n AS (SELECT file_id, d, list_transform({_each(_cells, 'h')}, lambda x: lower({_TRIM.format('x')})) AS names FROM e),
+  r AS (SELECT file_id, d, list_transform(names, lambda n: {_ROLE}) AS roles FROM n), l AS (SELECT line_id, t, d, roles FROM t LEFT JOIN r USING (file_id) WHERE line_no <> 1 AND {_TRIM.format('t')} <> ''),
+  q AS (SELECT line_id, {_each(_quoted, 't')} AS ok, {_each(_cells, 't')} AS c, roles FROM l),
+  v AS (SELECT line_id, ok, length(c) = length(roles) AS wide, {", ".join(_TRIM.format(f"c[list_position(roles, '{x}')]") + f" AS {x}" for x in ("date", "symbol", "close"))} FROM q),
+  z AS (SELECT line_id, CASE WHEN NOT ok THEN 'quoting' WHEN NOT wide THEN 'column_count' WHEN NOT coalesce(regexp_full_match(date, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') AND try_cast(date AS DATE) IS NOT NULL, false) OR date LIKE '0000%' THEN 'bad_date'
+    WHEN NOT coalesce(regexp_full_match(symbol, '[A-Za-z0-9.-]{{1,12}}'), false) THEN 'bad_symbol'
+    WHEN NOT coalesce(lower(close) IN {_in(MISSING)} OR (regexp_full_match(close, '[+-]?([0-9]{{1,3}}(,[0-9]{{3}})+([.][0-9]*)?|[0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?') AND isfinite(try_cast(replace(close, ',', '') AS DOUBLE))), false) THEN 'bad_close' END AS reason FROM v)
+  SELECT line_id, reason FROM z WHERE reason IS NOT NULL"""
+
+_KIND = "CASE json_type({0}) WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'NULL' THEN NULL ELSE 'number' END"
+
+# fields of one file pair up by type and parent; the tables hold at most one such pair a file, so no closeness is needed
+ORACLE["p5_found"] = f"""WITH f AS (SELECT stream_id, file_no, arg_min(CAST(body AS JSON), received_at) AS body FROM study_files GROUP BY 1, 2), o AS (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY file_no) AS r, count(*) OVER (PARTITION BY stream_id) AS n FROM f),
+  a AS (SELECT stream_id, file_no, r, n, body, unnest(json_keys(body)) AS k FROM o), p AS (SELECT stream_id, file_no, r, n, json_extract(body, '$.performance') AS body, unnest(json_keys(body, '$.performance')) AS k FROM o),
+  x AS (SELECT stream_id, file_no, r, n, '' AS parent, k AS name, {_KIND.format("json_extract(body, '$.' || k)")} AS jtype FROM a UNION ALL SELECT stream_id, file_no, r, n, 'performance', 'performance.' || k, {_KIND.format("json_extract(body, '$.' || k)")} FROM p),
+  s AS (SELECT stream_id, parent, name, max(n) AS n, count(*) AS c, min(r) AS lo, max(r) AS hi, arg_min(file_no, r) AS first_no, arg_min(jtype, r) FILTER (jtype IS NOT NULL) AS t0, arg_max(jtype, r) FILTER (jtype IS NOT NULL) AS t1 FROM x GROUP BY 1, 2, 3),
+  late AS (SELECT stream_id, parent, name, lo AS r, first_no AS file_no, t0 AS t FROM s WHERE lo > 1 AND hi = n AND c = n - lo + 1), gone AS (SELECT s.stream_id, parent, name, hi + 1 AS r, o.file_no, t1 AS t FROM s JOIN o ON o.stream_id = s.stream_id AND o.r = hi + 1 WHERE lo = 1 AND hi < s.n AND c = hi),
+  m AS (SELECT g.stream_id, g.file_no, g.name AS old, l.name AS new FROM gone g JOIN late l ON g.stream_id = l.stream_id AND g.r = l.r AND g.parent = l.parent AND g.t = l.t),
+  y AS (SELECT stream_id, name, jtype, min(r) AS lo, max(r) AS hi, arg_min(file_no, r) AS no FROM x WHERE jtype IS NOT NULL GROUP BY 1, 2, 3), w AS (SELECT *, lag(hi) OVER (PARTITION BY stream_id, name ORDER BY lo) AS before FROM y)
+  SELECT stream_id, CAST(file_no AS INTEGER) AS file_no, name AS field_name, 'added' AS change_kind, '' AS new_name FROM late WHERE (stream_id, name) NOT IN (SELECT (stream_id, new) FROM m)
+  UNION ALL SELECT stream_id, CAST(file_no AS INTEGER), name, 'removed', '' FROM gone WHERE (stream_id, name) NOT IN (SELECT (stream_id, old) FROM m)
+  UNION ALL SELECT stream_id, CAST(file_no AS INTEGER), old, 'renamed', new FROM m
+  UNION ALL SELECT stream_id, CAST(no AS INTEGER), name, 'type_changed', '' FROM w WHERE before < lo"""
