@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the session's ``spark.checkpoint.dir``; make a private folder only where it is unset (tests, laptops)."""
     sc = spark.sparkContext
-    shared = sc.getConf().get("spark.checkpoint.dir")
+    shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="panelspark-checkpoint-"))
 

@@ -76,6 +76,12 @@ def p6_profile(spark: SparkSession, d: str) -> DataFrame:
     return profile_loads(table(spark, d, "long_loads"), LOAD_COLUMNS).withColumn("departs", F.array_join("departs", ","))
 
 
+def p6_counts(spark: SparkSession, d: str) -> DataFrame:
+    """The exact part of the profile: counts, distinct and most frequent values."""
+    r = profile_loads(table(spark, d, "long_loads"), LOAD_COLUMNS)
+    return r.select("load_id", "column_name", "n", "n_null", "n_distinct", F.round("mode_share", 9).alias("mode_share"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return profile_loads(table(spark, d, "long_loads"), LOAD_COLUMNS).where(F.size("departs") > 0).select("load_id", "column_name")
 
@@ -88,7 +94,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return p7_grid(spark, d).where("filled").select(F.col("source").alias("symbol"), "slot_s")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_flags, p2_found, p2_times, p3_found, p3_loaded, p4_found, p4_trailing, p5_found, p5_studies, p6_found, p6_profile, p7_found, p7_grid)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_flags, p2_found, p2_times, p3_found, p3_loaded, p4_found, p4_trailing, p5_found, p5_studies, p6_found, p6_counts, p6_profile, p7_found, p7_grid)}
 
 _CLOSES = """
 closes AS (SELECT DISTINCT upper(trim(symbol)) AS symbol, date AS day, close FROM long_prices
@@ -107,6 +113,9 @@ ORACLE: dict[str, str] = {
     "p4_trailing": f"""WITH {_CLOSES} SELECT symbol, CAST(day AS VARCHAR) AS day_iso, n_7, n_30,
       CASE WHEN n_7 > 0 THEN round(s_7, 6) END AS total_7, CASE WHEN n_7 > 0 THEN round(s_7, 6) / n_7 END AS mean_7,
       CASE WHEN n_30 > 0 THEN round(s_30, 6) END AS total_30, CASE WHEN n_30 > 0 THEN round(s_30, 6) / n_30 END AS mean_30 FROM rolled""",
+    "p6_counts": """WITH l AS (SELECT vendor_id, load_id, 'date' AS column_name, date AS v FROM long_loads UNION ALL SELECT vendor_id, load_id, 'symbol', symbol FROM long_loads UNION ALL SELECT vendor_id, load_id, 'close', CAST(close AS VARCHAR) FROM long_loads),
+      c AS (SELECT vendor_id, load_id, column_name, v, count(*) AS k FROM l GROUP BY 1, 2, 3, 4)
+      SELECT load_id, column_name, CAST(sum(k) AS BIGINT) AS n, CAST(coalesce(sum(k) FILTER (v IS NULL), 0) AS BIGINT) AS n_null, count(v) AS n_distinct, round(max(k) FILTER (v IS NOT NULL) / sum(k) FILTER (v IS NOT NULL), 9) AS mode_share FROM c GROUP BY vendor_id, load_id, column_name""",
     "p7_found": """WITH marks AS (SELECT upper(trim(symbol)) AS symbol, CAST(floor(epoch(date)) AS BIGINT) AS t, CAST(grid_s AS BIGINT) AS g
         FROM long_marks JOIN feeds USING (feed_id) WHERE symbol IS NOT NULL AND trim(symbol) <> '' AND close IS NOT NULL AND isfinite(close)),
       slots AS (SELECT DISTINCT symbol, g, t - t % g AS slot_s FROM marks),

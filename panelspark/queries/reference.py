@@ -207,7 +207,16 @@ def sig_quantiles(spark, d):
     return signals.quantile_returns(*_sp(spark, d), 13)
 
 
-@query()
+def _mean_ic(h: int) -> str:
+    return f"""SELECT {h} AS horizon, avg(ic) AS mean_ic, count(ic) AS n_periods FROM (SELECT corr(rv, rf) AS ic FROM (SELECT t, value, fwd, row_number() OVER (PARTITION BY t ORDER BY value, symbol) AS rv, row_number() OVER (PARTITION BY t ORDER BY fwd, symbol) AS rf FROM
+      (SELECT *, lead(close, {h}) OVER (PARTITION BY symbol ORDER BY t) / nullif(close, 0) - 1 AS fwd FROM aligned) WHERE t % {h} = 0 AND t < depth - {h} AND fwd IS NOT NULL) GROUP BY t HAVING count(*) >= 8 AND stddev_pop(value) > 0 AND stddev_pop(fwd) > 0)"""
+
+
+@query(
+    f"""{ctes("signal", "prices", "aligned")}, m AS ({" UNION ALL ".join(map(_mean_ic, (1, 5, 13, 26)))}), k AS (SELECT *, horizon > 1 AND abs(mean_ic) <= abs((SELECT mean_ic FROM m WHERE horizon = 1)) / 2 AS halved FROM m)
+      SELECT CAST(horizon AS INTEGER) AS horizon, mean_ic, n_periods, coalesce(halved AND horizon = (SELECT min(horizon) FROM k WHERE halved), false) AS is_half_life FROM k""",
+    "mean_ic",
+)
 def sig_decay(spark, d):
     return signals.signal_decay(*_sp(spark, d), (1, 5, 13, 26))
 
