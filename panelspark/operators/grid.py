@@ -4,7 +4,7 @@ Readings are averaged per source and period (map-side combined, so a hot source
 the periods of one source and UTC day form one series: at most 86,400 / grid_s periods, whatever the rows. Each
 series goes through iterative singular-spectrum imputation: missing periods start on a straight line, the series
 is embedded as a Hankel matrix, its leading singular vectors rebuild it, and the missing entries are replaced
-until they settle. Filled periods are marked.
+until they settle. Filled periods are marked, and so is a series that a guard stops before it settles.
 """
 
 from __future__ import annotations
@@ -20,27 +20,33 @@ from panelspark.functions.exprs import clean_symbol, finite
 
 WINDOW = 12  # rows of the Hankel matrix
 RANK = 2  # singular vectors kept
-ROUNDS = 12  # at most; most series settle sooner
+ROUNDS = 100_000  # a guard only: series with long gaps take thousands; one that gets here is marked as not settled
 FLUSH = 200_000  # periods handed on at once; bounds a worker's memory
 SETTLED = 1e-3  # largest change of a filled value, in standard deviations of the known ones
 
 
 def ssa_fill(value: np.ndarray, known: np.ndarray, window: int = WINDOW, rank: int = RANK, rounds: int = ROUNDS) -> np.ndarray:
     """``value`` with its unknown entries imputed; first and last entry are known."""
+    return ssa_settle(value, known, window, rank, rounds)[0]
+
+
+def ssa_settle(value: np.ndarray, known: np.ndarray, window: int = WINDOW, rank: int = RANK, rounds: int = ROUNDS) -> tuple[np.ndarray, bool]:
+    """The imputed series, and whether it settled within ``rounds``."""
     n = len(value)
     x = value.copy()
     gaps = np.flatnonzero(~known)
     if not len(gaps):
-        return x
+        return x, True
     have = np.flatnonzero(known)
     x[gaps] = np.interp(gaps, have, value[have])
     window = min(window, n // 2)
     centre, spread = value[have].mean(), value[have].std()
     if window < 2 or spread == 0 or not np.isfinite(spread):
-        return x
+        return x, True
     x -= centre
     k = n - window + 1
     weight = np.convolve(np.ones(window), np.ones(k))  # entries on each anti-diagonal
+    settled = False
     # a gap's diagonal average needs the trajectories that hold it; all others stay as they are
     for _ in range(rounds):
         hankel = np.lib.stride_tricks.sliding_window_view(x, k)
@@ -54,12 +60,13 @@ def ssa_fill(value: np.ndarray, known: np.ndarray, window: int = WINDOW, rank: i
         moved = np.abs(new - x[gaps]).max()
         x[gaps] = new
         if moved <= SETTLED * spread:
+            settled = True
             break
-    return x + centre
+    return x + centre, settled
 
 
 def _fill_series(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    names = ("source", "slot_s", "value", "n", "filled")
+    names = ("source", "slot_s", "value", "n", "filled", "settled")
     for pdf in batches:
         parts: dict[str, list] = {c: [] for c in names}
         size = 0
@@ -71,9 +78,11 @@ def _fill_series(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             value[at], known[at], count[at] = values, True, counts
             parts["source"].append(np.full(n, source, object))
             parts["slot_s"].append(slots.min() + grid * np.arange(n))
-            parts["value"].append(ssa_fill(value, known))
+            imputed, settled = ssa_settle(value, known)
+            parts["value"].append(imputed)
             parts["n"].append(count)
             parts["filled"].append(~known)
+            parts["settled"].append(np.full(n, settled))
             size += n
             if size >= FLUSH:
                 yield pd.DataFrame({c: np.concatenate(v) for c, v in parts.items()})
@@ -91,10 +100,11 @@ def regular_grid(
     value: str = "close",
     grid: str = "grid_s",
 ) -> DataFrame:
-    """``source, slot_s, value, n, filled``: per source and UTC day the periods from its first to its last reading.
+    """``source, slot_s, value, n, filled, settled``: per source and UTC day the periods from its first to its last reading.
 
     * ``slot_s`` is the period's start, a multiple of the feed's ``grid_s`` since 1970 UTC, in seconds; a period holds
       its start and not its end; ``value`` is the mean of its ``n`` readings, or the imputed value where ``filled``;
+    * ``settled`` is false in all periods of a series whose imputed values still moved after ``ROUNDS`` rounds;
     * null, NaN and infinite values are no readings; nor are rows with a null or blank source, a null time, or a feed
       that has no positive ``grid_s``; a day without readings has no periods;
     * repeated rows weigh on their period's mean, not on the periods; a source with several feeds has the finest grid;
@@ -114,4 +124,4 @@ def regular_grid(
         F.collect_list(F.struct("slot", "v", "n")).alias("s")
     )
     arrays = series.select("source", "grid", F.col("s.slot").alias("slots"), F.col("s.v").alias("values"), F.col("s.n").alias("counts"))
-    return arrays.mapInPandas(_fill_series, "source string, slot_s bigint, value double, n bigint, filled boolean")
+    return arrays.mapInPandas(_fill_series, "source string, slot_s bigint, value double, n bigint, filled boolean, settled boolean")

@@ -11,7 +11,7 @@ import pytest
 
 from panelspark.operators.column_profile import profile_loads
 from panelspark.operators.drift import read_studies, schema_changes
-from panelspark.operators.grid import regular_grid, ssa_fill
+from panelspark.operators.grid import regular_grid, ssa_fill, ssa_settle
 from panelspark.operators.parse_rows import parse_lines
 from panelspark.operators.rolling import trailing_totals
 from panelspark.operators.spikes import flag_readings, pareto_cutoff, score_series
@@ -469,3 +469,19 @@ def test_imputation_recovers_a_periodic_series():
     assert np.abs(got - x)[~known].max() < 0.05 and (got[known] == pytest.approx(x[known]))
     line = np.array([1.0, 0, 3.0])
     assert ssa_fill(line, np.array([True, False, True])).tolist() == [1.0, 2.0, 3.0]
+
+
+def test_imputation_settles_with_the_parameters_in_use(spark):
+    t = np.arange(96)
+    x = 10 + np.sin(2 * np.pi * t / 24)
+    known = np.ones(96, bool)
+    known[20:44] = False  # a whole period
+    start = np.where(known, x, 0.0)
+    got, settled = ssa_settle(start, known)
+    assert settled and got[known] == pytest.approx(x[known]) and (ssa_fill(start, known) == got).all()
+    assert np.abs(got - x).max() < 0.05 * x[known].std()
+    assert not ssa_settle(start, known, rounds=12)[1]
+    base = dt.datetime(2025, 9, 1)
+    rows = [(0, "A", 1, base + dt.timedelta(minutes=int(i)), float(v), 1, 1) for i, v, k in zip(t, x, known, strict=True) if k]
+    r = regular_grid(spark.createDataFrame(rows, MARKS), spark.createDataFrame([(1, 60)], "feed_id int, grid_s int")).orderBy("slot_s").collect()
+    assert all(q.settled for q in r) and [q.value for q in r] == pytest.approx(list(got), abs=1e-9)
