@@ -5,6 +5,7 @@ values, so no load or vendor is one task's work). From the counts come nulls, di
 ranges, and frequencies of patterns and bins. The expected frequency of a pattern or bin is its median over the
 source's loads, so that one bad load can't move it; loads are then compared by the population stability index,
 by the largest gap between cumulated frequencies, and by the shares of values that fall outside what is usual.
+Texts have no order: the frequencies of their words are compared by chi-square with those of the other loads.
 All comparison happens on frequencies (bounded by loads times patterns or bins), never on rows.
 """
 
@@ -21,6 +22,7 @@ MODE_SHARE = 0.15  # growth of the most frequent value's share, beyond three sta
 DISTINCT = 0.4  # change of distinct values, as a logarithm, in number and per row
 GAP = {"number": 0.15, "date": 0.35}  # gap between cumulated frequencies, beyond 1 / sqrt(rows); a load has few days, so theirs is coarse
 PSI = 0.25  # population stability index that counts as a shift, beyond its noise of 4 groups / rows
+NOISE = 4  # standard errors, as the vendor's own loads scatter, that a distribution has to depart
 BINS_BEYOND = 2  # bins outside the usual range that are still no departure
 LOG_BINS = 8  # bins per doubling of a number
 
@@ -52,6 +54,8 @@ def profile_loads(df: DataFrame, columns: dict[str, str], load: str = "load_id",
     load_id, column_name, n, n_null, n_distinct, least, greatest, mode_share, null_shift, pattern_shift, unseen_share,
     outside_share, distinct_shift, gap, psi, departs`` (an array, empty where nothing departs).
 
+    * a text's ``gap`` is the share of words in excess of the other loads' shares, its ``psi`` that of the words; words of
+      which less than one is expected count together, and where all are so, only unseen ones and patterns can depart;
     * NaN is a value of its own pattern, not null; text in a number's column that is no number is a value by its own pattern; blank texts are values; symbols differ by spelling only in pattern;
     * a load is one of its group; rows with a null load or group form a load or group of their own;
     * a group with a single load has nothing to compare with, so nothing departs; repeated rows count as often as they come;
@@ -109,18 +113,41 @@ def profile_loads(df: DataFrame, columns: dict[str, str], load: str = "load_id",
     shares = cut(binned.select(*key, "m", "k", F.explode(facets).alias("f")).groupBy(*key, "m", "f.kind", "f.facet").agg(F.sum("k").alias("k")))
     # one row per facet of a group: its share in every load that holds it, and zero in the others
     loads = summary.where("m > 0").groupBy("g", "c").agg(F.collect_set(F.struct("l", "m")).alias("loads"))
-    grid = shares.groupBy("g", "c", "kind", "facet").agg(F.map_from_entries(F.collect_list(F.struct("l", (F.col("k") / F.col("m")).alias("s")))).alias("s")).join(loads, ["g", "c"])
+    grid = shares.groupBy("g", "c", "kind", "facet").agg(F.map_from_entries(F.collect_list(F.struct("l", (F.col("k") / F.col("m")).alias("s")))).alias("s"), F.sum("k").alias("total")).join(loads, ["g", "c"])
     n_loads = F.size("loads")
     absent = n_loads - F.size("s")
     at = F.floor((n_loads - 1) / 2).cast("int")
     expected = F.when(at < absent, 0.0).otherwise(F.get(F.array_sort(F.map_values("s")), at - absent))
     rare = F.size("s") <= F.greatest(F.lit(1), F.floor(n_loads / 4))
-    grid = grid.select("g", "c", "kind", "facet", expected.alias("e"), rare.alias("rare"), "s", F.explode("loads").alias("o"))
-    grid = grid.select("g", F.col("o.l").alias("l"), "c", "kind", "facet", "e", "rare", F.col("o.m").alias("m"), F.coalesce(F.try_element_at("s", F.col("o.l")), F.lit(0.0)).alias("s"))
-    per_facet = grid.where("kind <> 'bin'").groupBy(*key).agg(
+    rows = F.aggregate("loads", F.lit(0).cast("bigint"), lambda a, o: a + o.m)
+    grid = grid.select("g", "c", "kind", "facet", expected.alias("e"), rare.alias("rare"), "s", "total", rows.alias("rows"), F.explode("loads").alias("o"))
+    grid = grid.select("g", F.col("o.l").alias("l"), "c", "kind", "facet", "e", "rare", "total", "rows", F.col("o.m").alias("m"), F.coalesce(F.try_element_at("s", F.col("o.l")), F.lit(0.0)).alias("s"))
+    # words: counts that the other loads lead to expect; those of less than one are one cell together
+    k, word = F.rint(F.col("s") * F.col("m")), F.col("kind") == "word"
+    expect = F.try_divide((F.col("total") - k) * F.col("m"), F.col("rows") - F.col("m"))
+    grid = grid.withColumns({"k": F.when(word, k), "x": F.when(word, expect)})
+    k, x = F.col("k"), F.col("x")
+    stability = lambda k, x, m: (k - x) / (m + 1) * F.ln((k + 0.5) / (x + 0.5))
+    per_facet = grid.where("kind <> 'bin'").groupBy(*key, "m").agg(
         F.sum(F.when(F.col("kind") == "pattern", F.greatest(F.col("s") - F.col("e"), F.lit(0.0)))).alias("pattern_shift"),
         F.sum(F.when((F.col("kind") == "word") & F.col("rare"), F.col("s"))).alias("unseen_share"),
+        F.sum(F.when(x >= 1, (k - x) * (k - x) / x)).alias("chi"),
+        F.count_if(x >= 1).alias("cells"),
+        F.sum(F.when(x >= 1, stability(k, x, F.col("m")))).alias("word_psi"),
+        F.sum(F.greatest(k - x, F.lit(0.0)) / F.col("m")).alias("word_gap"),
+        F.coalesce(F.sum(F.when(x < 1, k)), F.lit(0.0)).alias("k"),
+        F.coalesce(F.sum(F.when(x < 1, x)), F.lit(0.0)).alias("x"),
     )
+    # chi-square and its normal deviate (Wilson and Hilferty); the effect is free of what noise alone adds
+    rest = F.col("k") - F.col("x")
+    chi = F.col("chi") + rest * rest / F.greatest(F.col("x"), F.lit(1.0))
+    tail = 2 / (9 * F.col("cells"))
+    per_facet = per_facet.select(
+        *key, "pattern_shift", "unseen_share", "word_gap",
+        F.when(F.col("cells") > 0, F.col("word_psi") + stability(F.col("k"), F.col("x"), F.col("m"))).alias("word_psi"),
+        F.when(F.col("cells") > 0, (F.cbrt(chi / F.col("cells")) - (1 - tail)) / F.sqrt(tail)).alias("word_z"),
+        F.when(F.col("cells") > 0, (chi - F.col("cells")) / F.col("m")).alias("word_effect"),
+    )
     # bins in order: cumulated frequencies, shares beyond the usual range, stability index over ten groups
     bins = grid.where("kind = 'bin'").withColumn("b", F.col("facet").cast("int"))
     bins = bins.withColumn("e", F.try_divide("e", F.sum("e").over(Window.partitionBy(*key))))
@@ -135,7 +162,7 @@ def profile_loads(df: DataFrame, columns: dict[str, str], load: str = "load_id",
     a, e = (F.col("s") * F.col("m") + 0.5) / (F.col("m") + 5), (F.col("e") * F.col("m") + 0.5) / (F.col("m") + 5)
     per_bin = parts.groupBy(*key).agg(F.sum((a - e) * F.ln(a / e)).alias("psi"), F.max("gap").alias("gap"), F.coalesce(F.sum("outside"), F.lit(0.0)).alias("outside_share"))
     # against the medians of the group's loads
-    both = summary.join(per_facet, key, "left").join(per_bin, key, "left")
+    both = summary.join(per_facet, key, "left").join(per_bin, key, "left").withColumns({"gap": F.coalesce("gap", "word_gap"), "psi": F.coalesce("psi", "word_psi")})
     every = Window.partitionBy("g", "c")
     mid = lambda c: F.percentile_approx(c, 0.5).over(every)
     per_row = F.try_divide("n_distinct", "m")
@@ -148,15 +175,19 @@ def profile_loads(df: DataFrame, columns: dict[str, str], load: str = "load_id",
     pace = F.abs(F.col("mid_day") - F.lag("mid_day").over(step))
     both = both.select("*", F.try_divide("n_null", "n").alias("null_share"), pace.alias("pace"), F.abs(F.col("mid_day") - near_mid).alias("astray"), F.count("*").over(every).alias("n_loads"))
     both = both.select(
-        "*",
+        *[c for c in both.columns if c not in ("word_z", "word_effect")],
         (F.col("null_share") - mid("null_share")).alias("null_shift"),
         smaller.alias("distinct_shift"),
         (F.col("unseen_share") - mid("unseen_share")).alias("unseen_shift"),
         (F.col("outside_share") - mid("outside_share")).alias("outside_shift"),
         (F.col("mode_share") - mid("mode_share")).alias("mode_shift"),
         mid("mode_share").alias("mode_mid"),
+        (F.col("word_z") - mid("word_z")).alias("word_z"),
+        "word_effect",
         (F.col("astray") > F.greatest(F.lit(30), 6 * mid("pace"))).alias("misdated"),
     )
+    scatter = F.greatest(F.lit(1.0), 1.4826 * mid(F.abs("word_z")))
+    both = both.withColumn("mixed", (F.col("word_z") > NOISE * scatter) & (F.col("word_effect") > 4 * SHARE**2))
     sd = F.sqrt(F.col("mode_mid") * (1 - F.col("mode_mid")) / F.col("m"))
     reasons = {
         "nulls": F.col("null_shift") > SHARE,
@@ -165,7 +196,7 @@ def profile_loads(df: DataFrame, columns: dict[str, str], load: str = "load_id",
         "range": (F.col("outside_shift") > SHARE) | F.col("misdated"),
         "distinct": F.abs("distinct_shift") > DISTINCT,
         "mode": F.col("mode_shift") > MODE_SHARE + 3 * sd,
-        "distribution": (F.col("gap") > by_kind(lambda kind: F.lit(GAP.get(kind, 1.0))) + 1 / F.sqrt("m")) & (F.col("psi") > F.lit(PSI) + 4 / F.col("m")),
+        "distribution": (F.col("gap") > by_kind(lambda kind: F.lit(GAP.get(kind, 1.0))) + 1 / F.sqrt("m")) & (F.col("psi") > F.lit(PSI) + 4 / F.col("m")) | F.coalesce("mixed", F.lit(False)),
     }
     departs = F.array_compact(F.array(*[F.when((F.col("n_loads") > 1) & r, F.lit(name)) for name, r in reasons.items()]))
     back = lambda c: F.when(F.col(c) != "\u0000", F.col(c))

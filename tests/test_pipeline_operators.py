@@ -423,6 +423,16 @@ def test_departing_columns(spark):
     assert "nulls" in got[1, "close"] and "distribution" in got[6, "close"] and "distinct" in got[7, "symbol"]
 
 
+def test_a_shifted_mix_of_known_symbols_departs(spark):
+    rows, rng = _loads()
+    for r in rows:
+        if r[0] == 3 and rng.random() < 0.3:
+            r[3] = f"SYMA{chr(65 + int(rng.integers(6)))}X"  # other loads hold these too; none gains 15 points
+    got = {(r.load_id, r.column_name): r for r in profile_loads(spark.createDataFrame([tuple(r) for r in rows], LOADS), {"symbol": "text"}).collect()}
+    assert {k: list(r.departs) for k, r in got.items() if r.departs} == {(3, "symbol"): ["distribution"]}
+    assert all(r.gap is not None and r.psi is not None for r in got.values()) and got[3, "symbol"].psi == max(r.psi for r in got.values())
+
+
 def test_profile_counts_and_edges(spark):
     rows = [(1, "v", "2025-01-01", "A", 1.0, "", 1, 1)] * 3 + [(1, "v", None, "b", None, "", 1, 1), (None, None, None, None, None, None, None, None)]
     got = {(r.load_id, r.column_name): r for r in profile_loads(spark.createDataFrame(rows, LOADS), {"date": "date", "symbol": "text", "close": "number"}).collect()}
