@@ -20,10 +20,13 @@ from panelspark.plans.lineage import cut
 SHARE = 0.12  # share of values that has to depart; "about a sixth" less the noise of a load of some hundred rows
 MODE_SHARE = 0.15  # growth of the most frequent value's share, beyond three standard errors
 DISTINCT = 0.4  # change of distinct values, as a logarithm, in number and per row
-GAP = {"number": 0.15, "date": 0.35}  # gap between cumulated frequencies, beyond 1 / sqrt(rows); a load has few days, so theirs is coarse
-PSI = 0.25  # population stability index that counts as a shift, beyond its noise of 4 groups / rows
+GAP, PSI = 1.2, 12.0  # gap between cumulated frequencies and stability index beyond the vendor's medians, times sqrt(rows) and rows: what sampling alone hardly reaches
+GAP_SCATTER, PSI_SCATTER = 0.3, 6.0  # scatter of the two among a vendor's loads, in the same units, up to which those limits hold; they grow with it
+LEAST_GAP = SHARE / 2  # gap that counts, however many rows
 NOISE = 4  # standard errors, as the vendor's own loads scatter, that a distribution has to depart
-BINS_BEYOND = 2  # bins outside the usual range that are still no departure
+BINS_BEYOND = {"number": 2, "date": 0}  # bins outside the usual range that are still no departure
+AROUND = 5  # loads before and after that tell a load's expected day
+JITTER = 6  # times the usual distance from its expected day that a load may lie apart
 LOG_BINS = 8  # bins per doubling of a number
 
 
@@ -103,11 +106,20 @@ def profile_loads(df: DataFrame, columns: dict[str, str], load: str = "load_id",
         F.max(F.when(some, F.col("k"))).alias("mode_n"),
         F.percentile("day", F.lit(0.5), F.col("k")).cast("int").alias("mid_day"),
     )
+    # a load's expected middle day: that of the loads around it, carried on at the vendor's pace
+    every = Window.partitionBy("g", "c")
+    mid = lambda c: F.percentile_approx(c, 0.5).over(every)
+    step = every.orderBy(F.col("l").try_cast("bigint"), "l")
+    summary = summary.withColumn("pace", F.col("mid_day") - F.lag("mid_day").over(step)).withColumn("pace", mid("pace"))
+    near = F.array_compact(F.array(*[f("mid_day", k).over(step) + sign * k * F.col("pace") for f, sign in ((F.lag, 1), (F.lead, -1)) for k in range(1, AROUND + 1)]))
+    summary = summary.withColumn("near", F.array_sort(near)).withColumn("astray", F.coalesce(F.col("mid_day") - F.get("near", F.floor(F.size("near") / 2).cast("int")), F.lit(0))).withColumn("jitter", mid(F.abs("astray")))
+    apart = F.signum("astray") * F.greatest(F.abs("astray") - JITTER * F.col("jitter"), F.lit(0))
+    summary = summary.withColumn("origin", (F.col("mid_day") - apart).cast("int")).drop("near")
     # a row per load and column; both this and the frequencies below are used several times
     summary = cut(summary.withColumn("m", F.col("n") - F.col("n_null")).withColumn("mode_share", F.try_divide("mode_n", "m")))
-    # frequencies of patterns, bins and words; a date's bin is its distance from the load's middle day
-    binned = counts.where(some).join(summary.select(*key, "mid_day", "m"), key)
-    offset = F.greatest(F.least(F.col("day") - F.col("mid_day"), F.lit(4000)), F.lit(-4000))
+    # frequencies of patterns, bins and words; a date's bin is its distance from the load's expected day
+    binned = counts.where(some).join(summary.select(*key, "origin", "m"), key)
+    offset = F.greatest(F.least(F.col("day") - F.col("origin"), F.lit(4000)), F.lit(-4000))
     facet = lambda kind, f: F.when(f.isNotNull(), F.struct(F.lit(kind).alias("kind"), f.cast("string").alias("facet")))
     facets = F.array_compact(F.array(facet("pattern", F.col("pattern")), facet("bin", F.coalesce("bin", offset)), facet("word", F.col("word"))))
     shares = cut(binned.select(*key, "m", "k", F.explode(facets).alias("f")).groupBy(*key, "m", "f.kind", "f.facet").agg(F.sum("k").alias("k")))
@@ -156,24 +168,20 @@ def profile_loads(df: DataFrame, columns: dict[str, str], load: str = "load_id",
     ends = bins.where("s > 0").groupBy(*key).agg(F.min("b").alias("lo"), F.max("b").alias("hi"))
     usual = ends.groupBy("g", "c").agg(F.percentile_approx("lo", 0.5).alias("lo"), F.percentile_approx("hi", 0.5).alias("hi"))
     bins = bins.join(usual, ["g", "c"])
-    part = F.least(F.floor((F.col("ce") - F.col("e") / 2) * 10), F.lit(9))
-    beyond = (F.col("b") < F.col("lo") - BINS_BEYOND) | (F.col("b") > F.col("hi") + BINS_BEYOND)
+    # days that no load is expected to have are a group of their own; numbers have too many bins for that
+    part = F.when((F.col("e") == 0) & by_kind(lambda kind: F.lit(kind == "date")), 10).otherwise(F.least(F.floor((F.col("ce") - F.col("e") / 2) * 10), F.lit(9)))
+    still = by_kind(lambda kind: F.lit(BINS_BEYOND.get(kind, 0)))
+    beyond = (F.col("b") < F.col("lo") - still) | (F.col("b") > F.col("hi") + still)
     parts = bins.groupBy(*key, "m", part.alias("part")).agg(F.sum("s").alias("s"), F.sum("e").alias("e"), F.max(F.abs(F.col("cs") - F.col("ce"))).alias("gap"), F.sum(F.when(beyond, F.col("s"))).alias("outside"))
     a, e = (F.col("s") * F.col("m") + 0.5) / (F.col("m") + 5), (F.col("e") * F.col("m") + 0.5) / (F.col("m") + 5)
     per_bin = parts.groupBy(*key).agg(F.sum((a - e) * F.ln(a / e)).alias("psi"), F.max("gap").alias("gap"), F.coalesce(F.sum("outside"), F.lit(0.0)).alias("outside_share"))
     # against the medians of the group's loads
     both = summary.join(per_facet, key, "left").join(per_bin, key, "left").withColumns({"gap": F.coalesce("gap", "word_gap"), "psi": F.coalesce("psi", "word_psi")})
-    every = Window.partitionBy("g", "c")
-    mid = lambda c: F.percentile_approx(c, 0.5).over(every)
     per_row = F.try_divide("n_distinct", "m")
     log_of = lambda c: F.when(c > 0, F.ln(c))
     distinct = [log_of(c) - log_of(mid(c)) for c in (F.col("n_distinct").cast("double"), per_row)]
     smaller = F.when(F.signum(distinct[0]) == F.signum(distinct[1]), F.when(F.abs(distinct[0]) < F.abs(distinct[1]), distinct[0]).otherwise(distinct[1])).otherwise(0.0)
-    step = Window.partitionBy("g", "c").orderBy(F.col("l").try_cast("bigint"), "l")
-    near = F.array_compact(F.array(*[f("mid_day", k).over(step) for f in (F.lag, F.lead) for k in (1, 2)]))
-    near_mid = F.get(F.array_sort(near), F.floor(F.size(near) / 2).cast("int"))
-    pace = F.abs(F.col("mid_day") - F.lag("mid_day").over(step))
-    both = both.select("*", F.try_divide("n_null", "n").alias("null_share"), pace.alias("pace"), F.abs(F.col("mid_day") - near_mid).alias("astray"), F.count("*").over(every).alias("n_loads"))
+    both = both.select("*", F.try_divide("n_null", "n").alias("null_share"), F.count("*").over(every).alias("n_loads"))
     both = both.select(
         *[c for c in both.columns if c not in ("word_z", "word_effect")],
         (F.col("null_share") - mid("null_share")).alias("null_shift"),
@@ -184,10 +192,14 @@ def profile_loads(df: DataFrame, columns: dict[str, str], load: str = "load_id",
         mid("mode_share").alias("mode_mid"),
         (F.col("word_z") - mid("word_z")).alias("word_z"),
         "word_effect",
-        (F.col("astray") > F.greatest(F.lit(30), 6 * mid("pace"))).alias("misdated"),
+        ((F.col("gap") - mid("gap")) * F.sqrt("m")).alias("gap_shift"),
+        ((F.col("psi") - mid("psi")) * F.col("m")).alias("psi_shift"),
+        (F.abs("astray") > F.greatest(F.abs("pace") / 2, JITTER * F.col("jitter"))).alias("misdated"),
     )
     scatter = F.greatest(F.lit(1.0), 1.4826 * mid(F.abs("word_z")))
     both = both.withColumn("mixed", (F.col("word_z") > NOISE * scatter) & (F.col("word_effect") > 4 * SHARE**2))
+    wide = lambda c, usual: F.greatest(F.lit(1.0), mid(F.abs(c)) / usual)
+    both = both.withColumn("uneven", (F.col("gap_shift") > F.greatest(GAP * wide("gap_shift", GAP_SCATTER), LEAST_GAP * F.sqrt("m"))) & (F.col("psi_shift") > PSI * wide("psi_shift", PSI_SCATTER)))
     sd = F.sqrt(F.col("mode_mid") * (1 - F.col("mode_mid")) / F.col("m"))
     reasons = {
         "nulls": F.col("null_shift") > SHARE,
@@ -196,7 +208,7 @@ def profile_loads(df: DataFrame, columns: dict[str, str], load: str = "load_id",
         "range": (F.col("outside_shift") > SHARE) | F.col("misdated"),
         "distinct": F.abs("distinct_shift") > DISTINCT,
         "mode": F.col("mode_shift") > MODE_SHARE + 3 * sd,
-        "distribution": (F.col("gap") > by_kind(lambda kind: F.lit(GAP.get(kind, 1.0))) + 1 / F.sqrt("m")) & (F.col("psi") > F.lit(PSI) + 4 / F.col("m")) | F.coalesce("mixed", F.lit(False)),
+        "distribution": by_kind(lambda kind: F.col("mixed") if kind == "text" else F.col("uneven")),
     }
     departs = F.array_compact(F.array(*[F.when((F.col("n_loads") > 1) & r, F.lit(name)) for name, r in reasons.items()]))
     back = lambda c: F.when(F.col(c) != "\u0000", F.col(c))

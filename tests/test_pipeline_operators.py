@@ -433,6 +433,22 @@ def test_a_shifted_mix_of_known_symbols_departs(spark):
     assert all(r.gap is not None and r.psi is not None for r in got.values()) and got[3, "symbol"].psi == max(r.psi for r in got.values())
 
 
+def test_a_fifth_of_the_values_and_small_shifts_of_days_depart(spark):
+    rows, rng = _loads()
+    for r in rows:
+        if r[0] == 2:
+            r[2] = (dt.date.fromisoformat(r[2]) + dt.timedelta(days=2)).isoformat()  # a whole load two days late
+        if r[0] == 5 and rng.random() < 0.2:
+            r[2] = (dt.date(2025, 1, 6) + dt.timedelta(days=7 * 5 + (5 if rng.random() < 0.5 else -1))).isoformat()  # a day beside the usual ones
+        if r[0] == 8:
+            r[2] = (dt.date.fromisoformat(r[2]) - dt.timedelta(days=14)).isoformat()
+        if r[0] == 10 and rng.random() < 0.2:
+            r[4] = 250.0 + round(30 * float(rng.random()), 4)  # inside the usual range
+    got = {(r.load_id, r.column_name): list(r.departs) for r in profile_loads(spark.createDataFrame([tuple(r) for r in rows], LOADS), {"date": "date", "close": "number"}).collect()}
+    assert {k for k, v in got.items() if v} == {(2, "date"), (5, "date"), (8, "date"), (10, "close")}, got
+    assert "distribution" in got[10, "close"] and "range" in got[8, "date"]
+
+
 def test_profile_counts_and_edges(spark):
     rows = [(1, "v", "2025-01-01", "A", 1.0, "", 1, 1)] * 3 + [(1, "v", None, "b", None, "", 1, 1), (None, None, None, None, None, None, None, None)]
     got = {(r.load_id, r.column_name): r for r in profile_loads(spark.createDataFrame(rows, LOADS), {"date": "date", "symbol": "text", "close": "number"}).collect()}
