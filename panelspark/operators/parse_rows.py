@@ -89,19 +89,8 @@ def _ok(role: Column, value: Column) -> Column:
     )
 
 
-def parse_lines(
-    df: DataFrame, line_id: str = "line_id", file_id: str = "file_id", line_no: str = "line_no", line: str = "line"
-) -> tuple[DataFrame, DataFrame]:
-    """``(loaded, failed)``: ``loaded`` has ``line_id, date, symbol, close``, ``failed`` has ``line_id, reason``.
-
-    * line number 1 is its file's header (of repeated ones the first by line id); headers and blank lines are in neither;
-    * null lines count as blank; one closing carriage return and a byte order mark at the start of a line are no part of it;
-    * a file without a header, or one that names no date, symbol or close, can't be read: its lines fail as ``column_count``;
-    * of several columns for a role the first is used; other columns only count;
-    * ``line_id`` names a line: rows that repeat one fail together, as one row, by their first reason, or load one by one;
-      null is a line id of its own; an empty table gives two empty ones;
-    * columns beyond the four named are ignored, whatever their names.
-    """
+def _body(df: DataFrame, line_id: str, file_id: str, line_no: str, line: str) -> DataFrame:
+    """``line_id, _roles, _q, _c`` of each body line: its file's roles, whether it is well quoted, its cells."""
     text = F.regexp_replace(F.col(line), r"(?s)\A﻿|\r\z", "")
     rows = df.select(F.col(line_id).alias("line_id"), F.col(file_id).alias("_f"), F.col(line_no).alias("_n"), text.alias("_t"))
     # headers: the delimiter whose split of the header names the three roles, else the one that occurs most
@@ -115,7 +104,29 @@ def parse_lines(
     body = rows.where("_n IS NULL OR _n <> 1").where(strip(F.col("_t")) != "")
     body = body.join(head, "_f", "left")
     fine = F.coalesce(well_quoted(F.col("_t"), F.col("_d")), F.lit(True))
-    body = body.select("line_id", "_roles", fine.alias("_q"), F.when(fine, cells(F.col("_t"), F.col("_d"))).alias("_c"))
+    return body.select("line_id", "_roles", fine.alias("_q"), F.when(fine, cells(F.col("_t"), F.col("_d"))).alias("_c"))
+
+
+def close_cells(df: DataFrame, line_id: str = "line_id", file_id: str = "file_id", line_no: str = "line_no", line: str = "line") -> DataFrame:
+    """``line_id, cell``: the whole close cell of every body line; null where the line is badly quoted or too short, or its file names no close."""
+    body = _body(df, line_id, file_id, line_no, line)
+    return body.select("line_id", F.get("_c", (F.array_position("_roles", "close") - 1).cast("int")).alias("cell"))
+
+
+def parse_lines(
+    df: DataFrame, line_id: str = "line_id", file_id: str = "file_id", line_no: str = "line_no", line: str = "line"
+) -> tuple[DataFrame, DataFrame]:
+    """``(loaded, failed)``: ``loaded`` has ``line_id, date, symbol, close``, ``failed`` has ``line_id, reason``.
+
+    * line number 1 is its file's header (of repeated ones the first by line id); headers and blank lines are in neither;
+    * null lines count as blank; one closing carriage return and a byte order mark at the start of a line are no part of it;
+    * a file without a header, or one that names no date, symbol or close, can't be read: its lines fail as ``column_count``;
+    * of several columns for a role the first is used; other columns only count;
+    * ``line_id`` names a line: rows that repeat one fail together, as one row, by their first reason, or load one by one;
+      null is a line id of its own; an empty table gives two empty ones;
+    * columns beyond the four named are ignored, whatever their names.
+    """
+    body = _body(df, line_id, file_id, line_no, line)
     width = F.col("_roles").isNotNull() & (F.size("_c") == F.size("_roles"))
     body = body.select("line_id", "_q", F.coalesce(width, F.lit(False)).alias("_w"), "_c", "_roles")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from panelspark.operators.parse_rows import close_cells
 from panelspark.plans import panels as P
 from panelspark.queries.registry import ctes, query
 from panelspark.sources import panels as src
@@ -40,6 +41,12 @@ def src_num(spark, d):
     return rows.select("line_id", src.number(F.col("v")).alias("value")).where("value IS NOT NULL")
 
 
+@query()
+def src_num_cells(spark, d):
+    """Every whole close cell of the body lines; null where it holds no number. src_num sees only what digits, commas and dots end a line."""
+    return close_cells(_read(spark, d, "long_lines")).select("line_id", src.number(F.col("cell")).alias("value"))
+
+
 _SYMBOLS = "w AS (SELECT DISTINCT upper(trim(symbol)) AS symbol FROM documents WHERE symbol IS NOT NULL AND trim(symbol) <> ''), p AS (SELECT DISTINCT upper(trim(symbol)) AS symbol FROM long_prices WHERE symbol IS NOT NULL AND trim(symbol) <> '')"
 
 

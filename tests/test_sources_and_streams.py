@@ -137,3 +137,14 @@ def test_streamed_gaps_equal_the_batch(spark, tmp_path):
     got = _drain(st.period_gaps(_stream(spark, tmp_path, [[("A", t(0)), ("A", t(70))], [("A", t(250)), ("B", t(0)), (None, t(9))], [("B", t(190))]], schema)), "g")
     base = int(dt.datetime(2024, 1, 1, 10, tzinfo=dt.UTC).timestamp())
     assert {(r.source, r.slot_s - base) for r in got} == {("A", 120), ("A", 180), ("B", 60), ("B", 120)}
+
+
+def test_numbers_come_from_whole_close_cells(spark):
+    from pyspark.sql import functions as F
+
+    from panelspark.operators.parse_rows import close_cells
+
+    lines = ["date,symbol,volume,close,note", "2022-02-11,QOXOWA.B,754961,2002.18,", '2022-02-12,A,1,"1,234.5",late', "2022-02-13,A,1,-1.5e3,\r", "2022-02-14,A,1,n/a,x 7", "2022-02-15,A.3", '2022-02-16,"A,1,2,']
+    df = spark.createDataFrame([(i, 1, i + 1, x) for i, x in enumerate(lines)], "line_id bigint, file_id bigint, line_no int, line string")
+    got = {r.line_id: r.v for r in close_cells(df).select("line_id", src.number(F.col("cell")).alias("v")).collect()}
+    assert got == {1: 2002.18, 2: 1234.5, 3: -1500.0, 4: None, 5: None, 6: None}
