@@ -12,7 +12,7 @@ from panelspark.operators.drift import read_studies, schema_changes
 from panelspark.operators.grid import regular_grid
 from panelspark.operators.parse_rows import CLOSE_NAMES, DATE_NAMES, DELIMITERS, MISSING, SYMBOL_NAMES, parse_lines
 from panelspark.operators.rolling import trailing_totals
-from panelspark.operators.spikes import flag_readings
+from panelspark.operators.spikes import flag_readings, source_cutoffs
 from panelspark.operators.timestamps import normalise_timestamps
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,11 @@ def p1_flags(spark: SparkSession, d: str) -> DataFrame:
     return flag_readings(table(spark, d, "long_prices"))
 
 
+def p1_cutoffs(spark: SparkSession, d: str) -> DataFrame:
+    """The fit behind each source's cutoff."""
+    return source_cutoffs(table(spark, d, "long_prices"))
+
+
 def p2_times(spark: SparkSession, d: str) -> DataFrame:
     feeds = table(spark, d, "feeds")
     parts = [normalise_timestamps(table(spark, d, t), feeds).select(F.lit(t).alias("table_name"), "*") for t in ("long_feed", "wide_prices")]
@@ -94,7 +99,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return p7_grid(spark, d).where("filled").select(F.col("source").alias("symbol"), "slot_s")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_flags, p2_found, p2_times, p3_found, p3_loaded, p4_found, p4_trailing, p5_found, p5_studies, p6_found, p6_counts, p6_profile, p7_found, p7_grid)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_flags, p1_cutoffs, p2_found, p2_times, p3_found, p3_loaded, p4_found, p4_trailing, p5_found, p5_studies, p6_found, p6_counts, p6_profile, p7_found, p7_grid)}
 
 _CLOSES = """
 closes AS (SELECT DISTINCT upper(trim(symbol)) AS symbol, date AS day, close FROM long_prices

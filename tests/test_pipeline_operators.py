@@ -14,7 +14,7 @@ from panelspark.operators.drift import read_studies, schema_changes
 from panelspark.operators.grid import regular_grid, ssa_fill, ssa_settle
 from panelspark.operators.parse_rows import parse_lines
 from panelspark.operators.rolling import trailing_totals
-from panelspark.operators.spikes import flag_readings, pareto_cutoff, score_series
+from panelspark.operators.spikes import NORMAL_MOVES, burst_sizes, fit_tail, flag_readings, pareto_cutoff, pareto_shape, score_series, source_cutoffs, tail_excesses
 from panelspark.operators.timestamps import normalise_timestamps
 
 PRICES = "symbol string, date date, close double, loaded_at timestamp, source string, day int, value double, entity string, v double"
@@ -76,9 +76,64 @@ def test_scores_equal_brute_force():
         assert got[i] == pytest.approx(min(abs(lx[i] - m) for m in sides) / np.median(np.abs(np.diff(lx))), rel=0.05)
 
 
+def test_burst_sizes_equal_brute_force():
+    rng = np.random.default_rng(11)
+    for n in (3, 4, 7, 60):
+        x, score = np.cumsum(rng.normal(0, 1, n)), rng.exponential(2, n)
+        want = np.zeros(n)
+        for a in range(1, n - 1):
+            for b in range(a, min(a + 5, n - 1)):
+                enter, leave = x[a] - x[a - 1], x[b] - x[b + 1]
+                if enter * leave > 0:
+                    for i in range(a, b + 1):
+                        want[i] = max(want[i], min(abs(enter), abs(leave), score[i]))
+        assert burst_sizes(x, score) == pytest.approx(want)
+
+
 def test_pareto_cutoff_recovers_an_exponential_tail():
-    y = np.random.default_rng(0).exponential(1.0, 20_000)
-    assert pareto_cutoff(2.0, y, len(y), 1e-4) == pytest.approx(-np.log(1e-4), rel=0.12)
+    y = np.sort(np.random.default_rng(0).exponential(1.0, 20_000))
+    above = y[y > 2.0] - 2.0
+    got = pareto_cutoff(2.0, above.mean(), pareto_shape(above), len(above) / len(y), 1e-4)
+    assert got == pytest.approx(-np.log(1e-4), rel=0.12)
+
+
+def test_faults_leave_the_fit_of_a_tail_alone():
+    size = np.random.default_rng(4).exponential(0.7, 600)
+    clean = fit_tail(size, 0.6, 0.0)
+    for share in (10, 25, 60):  # up to a tenth of the readings
+        size[rng_at := np.random.default_rng(share).choice(600, share, replace=False)] = 40.0
+        threshold, excesses, in_tail, mean, cutoff = fit_tail(size, 0.6, 0.0)
+        assert cutoff == pytest.approx(clean[-1], rel=0.25) and in_tail < excesses and (size[rng_at] > cutoff).all()
+    assert tail_excesses(np.zeros(5))[1].size == 0
+
+
+def test_cutoffs_come_from_the_tails(spark):
+    """The same burst is a fault of a source whose moves are even, and none of one that jumps; no constant gives both."""
+    rng = np.random.default_rng(8)
+    rows, size = [], {}
+    for k in range(8):
+        jumpy = k % 2 == 1
+        move = rng.normal(0, 0.01, 700)
+        if jumpy:  # bursts of its own, smaller than what is planted
+            at = rng.choice(np.arange(5, 695, 4), 45, replace=False)
+            up = rng.exponential(0.022, 45)
+            move[at] += up
+            move[at + 1] -= up
+        x = np.cumsum(move)
+        x[350] += 0.085
+        rows += [(f"S{k}", _day(i), float(np.exp(v))) for i, v in enumerate(x)]
+    fits = {r.source: r for r in source_cutoffs(_prices(spark, rows)).collect()}
+    assert max(fits[f"S{k}"].cutoff for k in (0, 2, 4, 6)) < min(fits[f"S{k}"].cutoff for k in (1, 3, 5, 7))
+    assert all(r.in_tail >= 20 and r.risk == 1e-8 and r.n == 700 for r in fits.values())
+    for r in flag_readings(_prices(spark, rows)).collect():
+        assert (r.cutoff, r.spike) == (fits[r.source].cutoff, r.size > r.cutoff)
+        if r.day_iso == _day(350).isoformat():
+            size[r.source] = r.size
+            assert r.spike == (int(r.source[1]) % 2 == 0)
+    assert len(size) == 8
+    alone = source_cutoffs(_prices(spark, [("ONE", _day(0), 5.0), ("NAN", _day(0), float("nan"))])).collect()
+    assert {(r.source, r.n, r.cutoff, r.shape) for r in alone} == {("ONE", 1, None, None), ("NAN", 0, None, None)}
+    assert source_cutoffs(_prices(spark, [])).count() == 0 and NORMAL_MOVES[0] < 700 / 5
 
 
 # --- problem 2 ----------------------------------------------------------------------------------------------------
