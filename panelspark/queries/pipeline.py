@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelspark.operators.column_profile import profile_loads
-from panelspark.operators.drift import read_studies, schema_changes
+from panelspark.operators.drift import field_changes, read_studies, schema_changes
 from panelspark.operators.grid import regular_grid
 from panelspark.operators.parse_rows import CLOSE_NAMES, DATE_NAMES, DELIMITERS, MISSING, SYMBOL_NAMES, parse_lines
 from panelspark.operators.rolling import trailing_totals
@@ -69,9 +69,13 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return schema_changes(table(spark, d, "study_files")).select("stream_id", F.col("file_no").cast("int").alias("file_no"), "field_name", "change_kind", "new_name")
 
 
+def p5_changes(spark: SparkSession, d: str) -> DataFrame:
+    return field_changes(table(spark, d, "study_files"))
+
+
 def p5_studies(spark: SparkSession, d: str) -> DataFrame:
     files = table(spark, d, "study_files")
-    return read_studies(files, approved=schema_changes(files).where("change_kind = 'renamed'"))
+    return read_studies(files, approved=field_changes(files).where("change_kind = 'renamed'"))
 
 
 LOAD_COLUMNS = {"date": "date", "symbol": "text", "close": "number"}
@@ -99,7 +103,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return p7_grid(spark, d).where("filled").select(F.col("source").alias("symbol"), "slot_s")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_flags, p1_cutoffs, p2_found, p2_times, p3_found, p3_loaded, p4_found, p4_trailing, p5_found, p5_studies, p6_found, p6_counts, p6_profile, p7_found, p7_grid)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_flags, p1_cutoffs, p2_found, p2_times, p3_found, p3_loaded, p4_found, p4_trailing, p5_found, p5_changes, p5_studies, p6_found, p6_counts, p6_profile, p7_found, p7_grid)}
 
 _CLOSES = """
 closes AS (SELECT DISTINCT upper(trim(symbol)) AS symbol, date AS day, close FROM long_prices

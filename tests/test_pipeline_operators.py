@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 
 from panelspark.operators.column_profile import profile_loads
-from panelspark.operators.drift import read_studies, schema_changes
+from panelspark.operators.drift import field_changes, read_studies, schema_changes
 from panelspark.operators.grid import regular_grid, ssa_fill, ssa_settle
 from panelspark.operators.parse_rows import parse_lines
 from panelspark.operators.rolling import trailing_totals
@@ -431,6 +431,53 @@ def test_studies_are_rescued_and_replayed(spark):
     assert read_studies(_files(spark, {})).count() == 0
 
 
+def test_chains_of_renames_and_passing_fields(spark):
+    names = ["deflated_sharpe", "dsr", "dsr_value", "dsr_final"]
+    bodies = []
+    for no in range(1, 9):
+        b = {"label": "x", names[(no - 1) // 2]: no / 10}
+        if 3 <= no <= 5:
+            b["passing"] = {"a": no}
+        if no == 4:
+            b["once"] = "o"
+        bodies.append((no, b))
+    later = [(1, {"old_label": "a", "n_trials": 1}), (2, {"old_label": "b", "n_trials": 2.5}), (3, {"label": "c", "n_trials": "3"})]
+    files = _files(spark, {"s": bodies, "t": later})
+    changes = field_changes(files)
+    got = {(r.stream_id, r.file_no, r.field_name, r.change_kind, r.new_name, r.origin, r.lasting) for r in changes.collect()}
+    assert got == {
+        ("s", 3, "deflated_sharpe", "renamed", "dsr", "deflated_sharpe", False),
+        ("s", 5, "dsr", "renamed", "dsr_value", "deflated_sharpe", False),
+        ("s", 7, "dsr_value", "renamed", "dsr_final", "deflated_sharpe", False),
+        ("s", 3, "deflated_sharpe", "removed", "", "deflated_sharpe", True),
+        ("s", 7, "dsr_final", "added", "", "deflated_sharpe", True),
+        ("s", 3, "passing", "added", "", "passing", False),
+        ("s", 6, "passing", "removed", "", "passing", False),
+        ("t", 3, "old_label", "renamed", "label", "old_label", True),
+        ("t", 3, "n_trials", "type_changed", "", "n_trials", True),
+    }
+    assert {tuple(r) for r in schema_changes(files).collect()} == {g[:5] for g in got if g[6]}
+    rows = {(r.stream_id, r.file_no): r for r in read_studies(files, changes.where("change_kind = 'renamed'")).collect()}
+    assert [rows["s", no].deflated_sharpe for no in range(1, 9)] == [no / 10 for no in range(1, 9)]
+    assert [json.loads(rows["s", no]._rescued or "{}") for no in (1, 4, 8)] == [{}, {"passing": '{"a":4}', "once": '"o"'}, {}]
+    assert [rows["t", no].label for no in (1, 2, 3)] == ["a", "b", "c"] and [rows["t", no].n_trials for no in (1, 2, 3)] == [1, None, 3]
+    assert json.loads(rows["t", 2]._rescued) == {"n_trials": "2.5"}
+
+
+def test_changes_across_blocks_of_numbers(spark):
+    from panelspark.operators import drift
+
+    bodies = [(no, {"label" if no < 40 else "title": "x", **({"extra": 1} if no >= 25 else {}), **({"gone": "g"} if no < 30 else {})}) for no in range(1, 61)]
+    files = _files(spark, {"s": bodies, "n": [(-5, {"a": 1}), (3, {"b": 1})]})
+    whole = {tuple(r) for r in field_changes(files).collect()}
+    block, drift.BLOCK = drift.BLOCK, 10
+    try:
+        assert {tuple(r) for r in field_changes(files).collect()} == whole
+    finally:
+        drift.BLOCK = block
+    assert {g[1:5] for g in whole if g[0] == "s"} == {(40, "label", "renamed", "title"), (25, "extra", "added", ""), (30, "gone", "removed", "")}
+
+
 # --- problem 6 ----------------------------------------------------------------------------------------------------
 
 LOADS = "load_id bigint, vendor_id string, date string, symbol string, close double, c string, l int, n int"
