@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from panelspark.operators import backtest, covariance, factors, health, pairs, panel, performance, process, screen, signals, sweep, technical, validation
+from panelspark.sources import artifacts
 
 OPERATIONS: dict[str, Callable] = {
     "data.profile": health.profile,
@@ -33,14 +34,14 @@ OPERATIONS: dict[str, Callable] = {
     "compute.cointegrated_pairs": pairs.screen_pairs,
     "compute.walk_forward": sweep.walk_forward,
     "compute.book_overlap": performance.book_overlap,
-    "compute.panel_transform": panel.cs_zscore,
+    "compute.panel_transform": panel.panel_transform,
     "compute.signal_icir": signals.signal_icir,
     "compute.fama_macbeth": signals.fama_macbeth,
     "compute.quantile_book": signals.quantile_book,
     "compute.ewma_cov": covariance.cov_ewma,
-    "compute.denoise_cov": covariance.denoise,
-    "compute.hrp": covariance.allocate,
-    "compute.risk_parity": covariance.allocate,
+    "compute.denoise_cov": covariance.denoise_cov,
+    "compute.hrp": covariance.hrp,
+    "compute.risk_parity": covariance.risk_parity,
     "compute.vol_target": covariance.vol_target,
     "compute.ou_calibrate": process.ou_calibrate,
     "compute.ou_simulate": process.ou_simulate,
@@ -50,7 +51,10 @@ OPERATIONS: dict[str, Callable] = {
     "compute.dgp_stress": process.dgp_stress,
     "compute.grinold_alpha": panel.grinold_alpha,
     "compute.breadth_ir": panel.breadth_ir,
-    "compute.detone_cov": covariance.detone,
+    "compute.detone_cov": covariance.detone_cov,
+    "emit.study": artifacts.emit_study,
+    **{f"emit.{name}": artifacts.emit for name in ("screen", "monitor", "sizing_decision", "signal_report", "health", "stress", "overlap", "process_report")},
+    **{f"record.{name}": artifacts.record for name in ("note", "decision", "approval")},
 }
 
 

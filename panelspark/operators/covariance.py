@@ -145,9 +145,21 @@ def detone(c: np.ndarray) -> np.ndarray:
     return _unit_diagonal(r - values[-1] * np.outer(vectors[:, -1], vectors[:, -1])) * np.outer(vol, vol)
 
 
-def variance_explained(c: np.ndarray, at_most: int = 32) -> list[float]:
+def denoise_cov(cov: DataFrame, n_obs: int) -> DataFrame:
+    """:func:`denoise` of a covariance in long form."""
+    names, m = to_matrix(cov)
+    return from_matrix(cov.sparkSession, names, denoise(m, n_obs)[0])
+
+
+def detone_cov(cov: DataFrame) -> DataFrame:
+    """:func:`detone` of a covariance in long form."""
+    names, m = to_matrix(cov)
+    return from_matrix(cov.sparkSession, names, detone(m))
+
+
+def variance_explained(c: np.ndarray) -> list[float]:
     values = np.maximum(np.linalg.eigvalsh(c), 0)[::-1]
-    return [float(v / values.sum()) for v in values[:at_most]] if values.sum() > 0 else []
+    return [float(v / values.sum()) for v in values] if values.sum() > 0 else []
 
 
 def diagnostics(c: np.ndarray) -> dict[str, float | None]:
@@ -244,6 +256,34 @@ def allocate(cov: DataFrame, method: str = "hrp") -> DataFrame:
     return cov.sparkSession.createDataFrame([(s, float(x), float(k / total) if total else None) for s, x, k in zip(names, w, contribution, strict=True)], "symbol string, weight double, risk_share double")
 
 
+COVARIANCES = ("sample", "ewma", "lw", "denoise")
+
+
+def covariance_by(panel: DataFrame, method: str = "sample", lam: float = 0.94) -> DataFrame:
+    """Covariance of a return panel by name: sample, ewma, lw (shrunk) or denoise (the sample one, denoised)."""
+    if method not in COVARIANCES:
+        raise ValueError(f"no covariance {method!r}; there are {', '.join(COVARIANCES)}")
+    if method == "ewma":
+        return cov_ewma(panel, lam)
+    if method == "lw":
+        return cov_ledoit_wolf(panel)[0]
+    sample = cov_sample(panel)
+    return sample if method == "sample" else denoise_cov(sample, panel.select("t").distinct().count())
+
+
+def allocate_panel(data: DataFrame, weights: str, cov: str) -> DataFrame:
+    """:func:`allocate` of a covariance in long form, or of a return panel by the covariance named."""
+    return allocate(data if {"a", "b", "v"} <= set(data.columns) else covariance_by(data, cov), weights)
+
+
+def hrp(data: DataFrame, cov: str = "sample") -> DataFrame:
+    return allocate_panel(data, "hrp", cov)
+
+
+def risk_parity(data: DataFrame, cov: str = "lw") -> DataFrame:
+    return allocate_panel(data, "risk_parity", cov)
+
+
 def vol_target(series: DataFrame, target: float = 0.10, lam: float = 0.94, periods: int = 252) -> DataFrame:
     """``series_id, n_obs, mean_leverage, max_leverage, realized_vol``: leverage to a target by exponentially weighted variance.
 

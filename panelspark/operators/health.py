@@ -65,10 +65,10 @@ def profile(prices: DataFrame) -> DataFrame:
     return counts.withColumn("names", names).select(*counts.columns, "names.*")
 
 
-def worst_moves(prices: DataFrame) -> DataFrame:
-    """The names with the largest single-period moves of 40 % or more, at most 24."""
+def worst_moves(prices: DataFrame, top_n: int = MAX_NAMED) -> DataFrame:
+    """The ``top_n`` names with the largest single-period moves of 40 % or more."""
     h = name_health(prices).where("readable AND worst_move_pct IS NOT NULL")
-    return h.select("symbol", "worst_move_pct", "n_spikes").orderBy(F.desc("worst_move_pct"), "symbol").limit(MAX_NAMED)
+    return h.select("symbol", "worst_move_pct", "n_spikes").orderBy(F.desc("worst_move_pct"), "symbol").limit(top_n)
 
 
 def length_deciles(prices: DataFrame) -> DataFrame:

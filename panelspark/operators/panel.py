@@ -113,3 +113,13 @@ def breadth_ir(ic: float, n_names: int, holdings: DataFrame | None = None, ideal
     return t.select("transfer", F.lit(int(n_names)).cast("bigint").alias("breadth"), (F.col("transfer") * ic * float(n_names) ** 0.5).alias("information_ratio"))
 
 
+
+
+TRANSFORMS = {"rank": cs_rank, "zscore": cs_zscore, "winsorize": cs_winsorize, "neutralize": cs_neutralize}
+
+
+def panel_transform(panel: DataFrame, method: str = "zscore", **parameters) -> DataFrame:
+    """A cross-sectional transform by name."""
+    if method not in TRANSFORMS:
+        raise ValueError(f"no transform {method!r}; there are {', '.join(TRANSFORMS)}")
+    return TRANSFORMS[method](panel, **parameters)

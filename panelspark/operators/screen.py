@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from panelspark.operators.technical import _deltas, rsi, sma
 
 METRICS = ("rsi", "return_pct", "distance_from_sma_pct", "volatility_pct")
-MAX_ROWS = 50
+MAX_ROWS = 50  # fixed value: the longest shortlist
 PERIODS_PER_YEAR = 252
 
 
@@ -61,7 +61,9 @@ def screen_universe(prices: DataFrame, rank_by: str = "return_pct", descending:
     """
     filters = filters or {}
     _check(rank_by, *filters)
-    limit = max(1, min(int(top_n), MAX_ROWS))
+    limit = int(top_n)
+    if not 1 <= limit <= MAX_ROWS:
+        raise ValueError(f"a shortlist holds 1 to {MAX_ROWS} names, not {top_n}")
     m = prices.select("symbol").distinct().join(screen_metrics(prices, **windows), "symbol", "left")
     m = m.withColumn("score", F.col(rank_by)).withColumn("passed", F.when(F.col("score").isNotNull(), passes(filters)))
     order = [F.col("score").desc(), F.col("symbol").desc()] if descending else [F.col("score").asc(), F.col("symbol").asc()]

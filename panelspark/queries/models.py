@@ -214,14 +214,12 @@ def cov_lw_shrinkage(spark, d):
 @query()
 def cov_denoise(spark, d):
     panel = _panel(spark, d)
-    names, m = cov.to_matrix(cov.cov_sample(panel))
-    return cov.from_matrix(spark, names, cov.denoise(m, panel.select("t").distinct().count())[0])
+    return cov.covariance_by(panel, "denoise")
 
 
 @query()
 def cov_detone(spark, d):
-    names, m = cov.to_matrix(cov.cov_sample(_panel(spark, d)))
-    return cov.from_matrix(spark, names, cov.detone(m))
+    return cov.detone_cov(cov.cov_sample(_panel(spark, d)))
 
 
 @query()
@@ -381,6 +379,6 @@ def dgp_stress(spark, d):
     s = P.market_returns(spark, d).select("series_id", "pos", F.col("close").alias("value"))
     out = None
     for kind in ("gbm", "ou", "jump", "garch"):
-        one = proc.dgp_stress(s, kind, 100)
+        one = proc.dgp_stress(s, kind)
         out = one if out is None else out.unionByName(one)
     return out

@@ -252,7 +252,20 @@ def test_processes_recover_their_parameters(spark):
     assert j.n_jumps >= 20 and j.sigma == pytest.approx(0.01, abs=0.001)
     one, two = (process.simulate_paths(spark.newSession() if k else spark, "gbm", 20, {"mu": 0.0, "sigma": 0.1}, 8).orderBy("path", "t").toPandas() for k in (0, 1))
     assert one.equals(two)
-    assert process.dgp_stress(df(x), "ou", 20).first().n_trials == 20
+    much = process.draw_returns("garch", np.arange(400), 300, {"omega": 1e-6, "alpha": 0.05, "beta": 0.9}, 3)
+    assert much.shape == (400, 300) and np.mean(much**2) == pytest.approx(1e-6 / 0.05, rel=0.1)
+    leap = process.draw_returns("jump", np.arange(400), 300, {"mu": 0.0, "sigma": 1e-9, "jump_lambda": 0.1, "jump_mu": 1.0, "jump_sigma": 0.0}, 3)
+    assert np.mean(leap > 0.5) == pytest.approx(0.1, abs=0.01)
+    assert process.draw_returns("ou", np.array([7]), 50, {"kappa": 0.1, "theta": 2.0, "sigma": 0.1}, 3) == pytest.approx(process.draw_returns("ou", np.arange(9), 50, {"kappa": 0.1, "theta": 2.0, "sigma": 0.1}, 3)[7:8])
+    stress = process.dgp_stress(df(x), "ou", 20).first()
+    assert (stress.n_trials, stress.n_ok) == (20, 20) and stress.sharpe_q10 < stress.sharpe_q90
+    flat = process.dgp_stress(df(np.ones(50)), "ou", 5).first()
+    assert (flat.n_trials, flat.n_ok, flat.sharpe_q50) == (5, 0, None)
+    held = process.dgp_stress(df(r), "gbm", 30, backtest=lambda data: np.full(9, 0.01) + np.arange(9) * data["close"][0] / 1e6).first()
+    assert held.n_ok == 30 and held.share_positive == 1.0
+    for bad in (lambda: process.dgp_stress(df(x), "walk"), lambda: process.simulate_paths(spark, "gbm", 5, {"mu": 0.0}), lambda: process.simulate_paths(spark, "gbm", 5, {"mu": 0.0, "sigma": 1.0}, 0)):
+        with pytest.raises(ValueError):
+            bad()
     assert process.ou_calibrate(df(np.ones(50))).first().mean_reverting is False
 
 

@@ -1,10 +1,12 @@
 import datetime as dt
 import json
 
+import numpy as np
 import pytest
 
 from panelspark import operations
 from panelspark.figures import MOST, TooLarge, chart, guard, rows_of, tidy
+from panelspark.operators import sweep
 from panelspark.sources import artifacts as art
 from panelspark.sources import panels as src
 from panelspark.streaming import readings as st
@@ -76,6 +78,8 @@ def test_studies_events_and_signals(spark, tmp_path):
     open(path, "w").write(json.dumps(raw | {"schema_version": "2.0"}))
     with pytest.raises(ValueError):
         art.load_study(path)
+    odd = {"why": 7, "usage": {"prompt_tokens": "12", "total_tokens": None, "other_tokens": 9}, "answer_caveats": ["c"] * 20, "choice": {"a": 1}, "error": None, "model": "m"}
+    assert art.allowed_event(odd) == {"why": 7, "usage": {"prompt_tokens": 12}, "answer_caveats": ["c"] * 16, "model": "m"}
     event = art.allowed_event({"kind": "pick", "why": "w" * 999, "secret": 1, "choice": [1, 2], "usage": {"prompt_tokens": 3, "x": 1}})
     assert event == {"kind": "pick", "why": "w" * 240, "usage": {"prompt_tokens": 3}}
     assert art.append_events([event], str(tmp_path / "e.jsonl")) == 1
@@ -101,7 +105,41 @@ def test_operations_by_name(spark):
     assert operations.run("mine", 2, handlers={"mine": lambda x: x + 1}) == 3
     with pytest.raises(KeyError):
         operations.run("nothing")
-    assert len(operations.OPERATIONS) == 44
+    assert len(operations.OPERATIONS) == 56
+
+
+def test_operations_do_what_their_names_say(spark):
+    run = operations.run
+    c = np.array([[0.04, 0.01, 0.0], [0.01, 0.09, 0.02], [0.0, 0.02, 0.01]])
+    long = spark.createDataFrame([("abc"[i], "abc"[j], float(c[i, j])) for i in range(3) for j in range(i, 3)], "a string, b string, v double")
+    even = {r.symbol: r for r in run("compute.risk_parity", long).collect()}
+    assert [r.risk_share for r in even.values()] == pytest.approx([1 / 3] * 3)
+    assert sum(r.weight for r in run("compute.hrp", long).collect()) == pytest.approx(1)
+    assert [r.weight for r in run("compute.hrp", long).collect()] != pytest.approx([r.weight for r in even.values()])
+    rng = np.random.default_rng(2)
+    panel = spark.createDataFrame([(s, t, float(x)) for s in "abcd" for t, x in enumerate(rng.normal(0, 0.01, 40))], "symbol string, t int, ret double")
+    for cov in ("sample", "ewma", "lw", "denoise"):
+        assert [r.risk_share for r in run("compute.risk_parity", panel, cov=cov).collect()] == pytest.approx([0.25] * 4)
+    assert run("compute.denoise_cov", long, 100).where("a = b").count() == run("compute.detone_cov", long).where("a = b").count() == 3
+    scores = spark.createDataFrame([(s, "d", float(i)) for i, s in enumerate("abcde")], "symbol string, ts string, value double")
+    for method, column in (("zscore", "zscore"), ("rank", "rank"), ("winsorize", "winsorized"), ("neutralize", "residual")):
+        assert column in run("compute.panel_transform", scores, method=method).columns
+    with pytest.raises(ValueError):
+        run("compute.panel_transform", scores, method="nothing")
+    assert run("record.note", text="a", n=1) == {"text": "a", "n": 1}
+    for name in ("screen", "monitor", "sizing_decision", "signal_report", "health", "stress", "overlap", "process_report"):
+        assert set(run(f"emit.{name}", x=1)) == {"x", "engine_version", "schema_version"}
+
+
+def test_study_of_a_sweep(spark):
+    rng = np.random.default_rng(5)
+    grid = sweep.expand_grid(spark, {"fast": [1, 2], "slow": [5]})
+    returns = spark.createDataFrame([(0, i, float(x)) for i, x in enumerate(rng.normal(0.002, 0.01, 200))], "trial_id int, pos int, ret double")
+    study = operations.run("emit.study", grid, returns, label="x")
+    assert (study["n_trials"], study["n_failed_trials"], study["n_trials_source"], study["best_params"], study["label"]) == (2, 1, "derived_from_grid", {"fast": 1, "slow": 5}, "x")
+    assert 0 <= study["deflated_sharpe"] <= 1 and study["performance"]["n_obs"] == 200 and len(study["data_hash"]) == 16
+    with pytest.raises(ValueError):
+        operations.run("emit.study", grid, returns.limit(0))
 
 
 def _stream(spark, tmp_path, rows, schema):
