@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from panelspark.operators.column_profile import profile_loads
 from panelspark.operators.drift import field_changes, read_studies, schema_changes
-from panelspark.operators.grid import regular_grid
+from panelspark.operators.grid import holdout_error, regular_grid
 from panelspark.operators.parse_rows import CLOSE_NAMES, DATE_NAMES, DELIMITERS, MISSING, SYMBOL_NAMES, parse_lines
 from panelspark.operators.rolling import trailing_totals
 from panelspark.operators.spikes import flag_readings, source_cutoffs
@@ -99,11 +99,16 @@ def p7_grid(spark: SparkSession, d: str) -> DataFrame:
     return regular_grid(table(spark, d, "long_marks"), table(spark, d, "feeds"))
 
 
+def p7_holdout(spark: SparkSession, d: str) -> DataFrame:
+    """Errors of the imputation and of a straight line at hidden readings."""
+    return holdout_error(table(spark, d, "long_marks"), table(spark, d, "feeds"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return p7_grid(spark, d).where("filled").select(F.col("source").alias("symbol"), "slot_s")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_flags, p1_cutoffs, p2_found, p2_times, p3_found, p3_loaded, p4_found, p4_trailing, p5_found, p5_changes, p5_studies, p6_found, p6_counts, p6_profile, p7_found, p7_grid)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_flags, p1_cutoffs, p2_found, p2_times, p3_found, p3_loaded, p4_found, p4_trailing, p5_found, p5_changes, p5_studies, p6_found, p6_counts, p6_profile, p7_found, p7_grid, p7_holdout)}
 
 _CLOSES = """
 closes AS (SELECT DISTINCT upper(trim(symbol)) AS symbol, date AS day, close FROM long_prices

@@ -11,7 +11,7 @@ import pytest
 
 from panelspark.operators.column_profile import profile_loads
 from panelspark.operators.drift import field_changes, read_studies, schema_changes
-from panelspark.operators.grid import regular_grid, ssa_fill, ssa_settle
+from panelspark.operators.grid import choose_embedding, holdout_error, impute, regular_grid, ssa_fill, ssa_settle
 from panelspark.operators.parse_rows import parse_lines
 from panelspark.operators.rolling import trailing_totals
 from panelspark.operators.spikes import NORMAL_MOVES, burst_sizes, fit_tail, flag_readings, pareto_cutoff, pareto_shape, score_series, source_cutoffs, tail_excesses
@@ -599,6 +599,33 @@ def test_imputation_recovers_a_periodic_series():
     assert ssa_fill(line, np.array([True, False, True])).tolist() == [1.0, 2.0, 3.0]
 
 
+def test_embedding_is_chosen_by_hidden_readings(spark):
+    rng = np.random.default_rng(6)
+    t = np.arange(240)
+    known = rng.random(240) > 0.2
+    known[[0, -1]] = True
+    cycle, noise, walk = np.sin(2 * np.pi * t / 24), rng.normal(0, 1, 240), np.cumsum(np.convolve(rng.normal(0, 1, 241), [0.5, 0.5], "valid"))
+    assert max(w for w, _, _ in choose_embedding(cycle, known)) == 12 and max((w for w, _, _ in choose_embedding(walk, known)), default=1) <= 3
+    assert max((w for w, _, _ in choose_embedding(noise, known)), default=1) <= 3
+    assert impute(np.array([1.0, 0, 3.0]), np.array([True, False, True]))[0].tolist() == [1.0, 2.0, 3.0]
+    assert impute(np.full(9, 2.0) * (np.arange(9) != 4), np.arange(9) != 4)[0].tolist() == [2.0] * 9
+    errors = {"fill": [], "line": []}
+    for k in range(60):
+        x = np.cumsum(np.convolve(np.random.default_rng(k).normal(0, 1, 241), [0.5, 0.5], "valid"))
+        hidden = np.arange(5, 235, 10)
+        seen = np.ones(240, bool)
+        seen[hidden] = False
+        errors["fill"].append(impute(np.where(seen, x, 0.0), seen)[0][hidden] - x[hidden])
+        errors["line"].append((x[hidden - 1] + x[hidden + 1]) / 2 - x[hidden])
+    assert np.square(errors["fill"]).mean() < np.square(errors["line"]).mean()
+    base = dt.datetime(2025, 9, 1)
+    rows = [(0, "A", 1, base + dt.timedelta(minutes=int(i)), float(v), 1, 1) for i, v in zip(t, cycle, strict=True)]
+    feeds = spark.createDataFrame([(1, 60)], "feed_id int, grid_s int")
+    every, r = holdout_error(spark.createDataFrame(rows, MARKS), feeds).orderBy("grid_s").collect()
+    assert every[1:] == r[1:] and (r.grid_s, r.n_hidden, r.n_unsettled) == (60, 24, 0) and r.rmse_fill < 0.2 * r.rmse_line
+    assert holdout_error(spark.createDataFrame([], MARKS), feeds).count() == 0
+
+
 def test_imputation_settles_with_the_parameters_in_use(spark):
     t = np.arange(96)
     x = 10 + np.sin(2 * np.pi * t / 24)
