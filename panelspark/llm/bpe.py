@@ -58,7 +58,9 @@ class Encoder:
         self._compatible: dict[tuple[int, int], bool] = {}
         self._stable: dict[int, bool] = {}
         self._known: dict[str, tuple[int, ...]] = {}
-        self.split = regex.compile(PATTERN).findall
+        pattern = regex.compile(PATTERN)
+        self.split = pattern.findall
+        self.matches = pattern.finditer
         self.automaton = ahocorasick.Automaton()
         for b, i in vocab.items():
             self.automaton.add_word(b.decode("latin-1"), (len(b), i))
@@ -135,6 +137,9 @@ class Encoder:
                 self._known[piece] = ids
         return ids
 
+    def count_part(self, part: str) -> int:
+        return len(self._learn(part))
+
     def pieces(self, text: str) -> tuple[list[str], list[tuple[int, ...]]]:
         """The text's pieces and the ids of each, in order; joined, the pieces are the text."""
         parts = self.split(text)

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -10,7 +11,7 @@ from tokenizers import Tokenizer
 from panelspark.llm.bpe import Encoder
 from panelspark.llm.encode import TOKENIZER, count_tokens, encode_corpus
 from panelspark.llm.mix import mix_sources
-from panelspark.llm.split import split_oversized, split_text
+from panelspark.llm.split import IMBALANCE, PENALTY, PER_PIECE, check_pieces, count_between, cut_positions, split_oversized, split_text
 
 DOCS = "doc_id bigint, text string, source string, ids string, limit int"
 SOURCES = "source string, target_share double, max_repeats int, max_tokens int, overlap_tokens int"
@@ -141,6 +142,44 @@ def test_cuts_fall_on_paragraphs_where_there_are_any(enc):
     assert {g for *_, g in pieces[:-1]} == {"paragraph"}
 
 
+def _best_cost(grade, limit, overlap):
+    """The least cost over all places, one by one."""
+    n = len(grade) - 1
+    whole = [i for i in range(n + 1) if grade[i] >= 0]
+    back = [max(w for w in whole if w <= max(i - overlap, 0)) if i else 0 for i in whole]
+    count = max(1, -(-(n - overlap) // (limit - overlap)))
+    even = (n + (count - 1) * overlap) / count
+    cost = [0.0]
+    for j in range(1, len(whole)):
+        fits = [c + IMBALANCE * ((whole[j] - b) / even - 1) ** 2 for c, b in zip(cost, back, strict=False) if whole[j] - b <= limit]
+        cost.append(min(fits) + PER_PIECE + (PENALTY[grade[whole[j]]] if whole[j] < n else 0.0))
+    return cost[-1], even
+
+
+@pytest.mark.parametrize("limit,overlap", [(65, 0), (70, 33), (100, 20), (200, 64), (20, 5)])
+def test_cuts_cost_the_least(limit, overlap):
+    rng = np.random.default_rng(limit)
+    for shares in ([0.01, 0.02, 0.05, 0.3, 0.6, 0.02], [0, 0, 0, 0, 0.1, 0.9], [0.2, 0.2, 0.2, 0.2, 0.1, 0.1], [0, 0.001, 0.002, 0.8, 0.197, 0]):
+        for n in (limit + 1, 3 * limit, 1200):
+            grade = rng.choice(6, n + 1, p=shares).astype("int8")
+            grade[rng.choice(np.arange(2, n, 3), n // 40, replace=False)] = -1
+            grade[0] = grade[-1] = 0
+            spans = cut_positions(grade, limit, overlap)
+            want, even = _best_cost(grade, limit, overlap)
+            got = sum(IMBALANCE * ((e - s) / even - 1) ** 2 + PER_PIECE + (PENALTY[grade[e]] if e < n else 0.0) for s, e in spans)
+            assert got == pytest.approx(want) and all(e - s <= limit for s, e in spans) and all(grade[e] >= 0 and grade[s] >= 0 for s, e in spans)
+
+
+@given(st.text(alphabet=st.sampled_from(list("ab  \n\n\t1.'sté的👍\u00a0\u0301")), max_size=60), st.data())
+@settings(max_examples=300, deadline=None)
+def test_counts_between_two_places(enc, text, data):
+    parts, ids = enc.pieces(text)
+    ends, upto = np.cumsum([0, *map(len, parts)]), np.cumsum([0, *map(len, ids)])
+    a = data.draw(st.integers(0, len(text)))
+    b = data.draw(st.integers(a, len(text)))
+    assert count_between(enc, text, ends, upto, a, b) == enc.count(text[a:b])
+
+
 def test_split_table(spark, library):
     rows = [(1, TEXTS[0], "a", "clash", 3), (2, TEXTS[0], None, None, None), (3, TEXTS[0], "unlisted", None, None), (4, None, "a", None, None), (5, "", "a", None, None), (6, "tiny", "a", None, None), (1, TEXTS[0], "a", "clash", 3)]
     limits = spark.createDataFrame([("a", 0.1, 1, 64, 8), ("a", 0.1, 1, 90, 8), (None, 0.1, 1, 1, 0)], SOURCES)
@@ -151,3 +190,7 @@ def test_split_table(spark, library):
     assert len(ones) == 2 * ones[0].n_pieces and all(r.n_tokens <= 64 for r in ones)
     assert [r.n_pieces for r in got if r.doc_id in (2, 3, 6)] == [1, 1, 1]
     assert split_oversized(_docs(spark, []), limits).count() == 0
+    good = split_oversized(_docs(spark, rows[:-1]), limits)
+    assert check_pieces(good, _docs(spark, rows[:-1]), limits).first().asDict() == {"n_texts": 4, "n_over_limit": 0, "n_short_overlap": 0, "n_not_rebuilt": 0, "n_oversized": 1}
+    lost = check_pieces(good.where("NOT oversized OR piece_no <> 1"), _docs(spark, rows[:-1]), limits).first()
+    assert lost.n_not_rebuilt == 1 and lost.n_short_overlap == 1
