@@ -2,11 +2,15 @@
 
 Columns are unpivoted and reduced to exact counts per load, column and value (map-side combined, spread over all
 values, so no load or vendor is one task's work). From the counts come nulls, distinct and most frequent values,
-ranges, and frequencies of patterns and bins. The expected frequency of a pattern or bin is its median over the
-source's loads, so that one bad load can't move it; loads are then compared by the population stability index,
-by the largest gap between cumulated frequencies, and by the shares of values that fall outside what is usual.
-Texts have no order: the frequencies of their words are compared by chi-square with those of the other loads.
-All comparison happens on frequencies (bounded by loads times patterns or bins), never on rows.
+ranges, and the frequencies by which loads are compared: of nulls, of patterns, of words of a text, of bins of a
+number or day. A load's nulls, patterns and words are compared with those of the source's other loads by chi-square;
+its p-value is corrected for all comparisons of the source, and a departure has to move a share of the values that
+counts. Bins have an order: they are compared by the stability index and by the gap between cumulated frequencies,
+with medians over the loads, so that one bad load can't move what is expected, beyond what the source's loads scatter.
+
+Frequencies are kept sparse: besides those a load has, only cells that many loads share are set against it (their
+number times that of the loads never exceeds the rows). Nothing is materialised on the way; all parts of the
+comparison read one exchange of the reduced counts.
 """
 
 from __future__ import annotations
@@ -15,19 +19,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.functions.exprs import strip
-from panelspark.plans.lineage import cut
 
 SHARE = 0.12  # share of values that has to depart; "about a sixth" less the noise of a load of some hundred rows
-MODE_SHARE = 0.15  # growth of the most frequent value's share, beyond three standard errors
-DISTINCT = 0.4  # change of distinct values, as a logarithm, in number and per row
+ALPHA = 0.01  # probability, over all comparisons of a source, that sampling alone makes a column depart
 GAP, PSI = 1.2, 12.0  # gap between cumulated frequencies and stability index beyond the vendor's medians, times sqrt(rows) and rows: what sampling alone hardly reaches
 GAP_SCATTER, PSI_SCATTER = 0.3, 6.0  # scatter of the two among a vendor's loads, in the same units, up to which those limits hold; they grow with it
 LEAST_GAP = SHARE / 2  # gap that counts, however many rows
-NOISE = 4  # standard errors, as the vendor's own loads scatter, that a distribution has to depart
-BINS_BEYOND = {"number": 2, "date": 0}  # bins outside the usual range that are still no departure
 AROUND = 5  # loads before and after that tell a load's expected day
 JITTER = 6  # times the usual distance from its expected day that a load may lie apart
 LOG_BINS = 8  # bins per doubling of a number
+# limits of the words that describe a departure; they decide nothing
+MODE_SHARE, DISTINCT, BINS_BEYOND = 0.15, 0.4, {"number": 2, "date": 0}
 
 
 def _number_pattern(x: Column) -> Column:
@@ -41,7 +43,8 @@ def _pattern(v: Column) -> Column:
     other = F.regexp_replace(F.regexp_replace(plain, r"\p{Lu}", "A"), r"\p{Ll}", "a")
     shape = F.when(F.length(v) == F.octet_length(v), plain).otherwise(other)  # letters beyond ASCII are rare and cost more
     short = F.regexp_replace(shape, r"(.)\1+", "$1+")
-    return F.when(F.length(v) <= 24, shape).otherwise(F.substring(short, 1, 64))
+    long = F.when(F.length(short) <= 64, short).otherwise(F.concat(F.substring(short, 1, 40), F.lit(" #"), F.hex(F.xxhash64(short))))
+    return F.when(F.length(v) <= 24, shape).otherwise(long)
 
 
 def _number_bin(x: Column) -> Column:
@@ -50,23 +53,17 @@ def _number_bin(x: Column) -> Column:
     return F.when(F.isnan(x) | (F.abs(x) == float("inf")), None).when(x == 0, 0).when(x > 0, size).when(x < 0, -size)
 
 
-def profile_loads(df: DataFrame, columns: dict[str, str], load: str = "load_id", group: str = "vendor_id") -> DataFrame:
-    """One row per load and column with its profile and, in ``departs``, the reasons it departs from the group's other loads.
+def _by_kind(columns: dict[str, str], f) -> Column:
+    out = F.lit(None)
+    for name, kind in columns.items():
+        out = F.when(F.col("c") == name, f(kind)).otherwise(out)
+    return out
 
-    ``columns`` gives each column's kind: ``text``, ``number`` or ``date`` (ISO text or dates). Result: ``group_id,
-    load_id, column_name, n, n_null, n_distinct, least, greatest, mode_share, null_shift, pattern_shift, unseen_share,
-    outside_share, distinct_shift, gap, psi, departs`` (an array, empty where nothing departs).
 
-    * a text's ``gap`` is the share of words in excess of the other loads' shares, its ``psi`` that of the words; words of
-      which less than one is expected count together, and where all are so, only unseen ones and patterns can depart;
-    * NaN is a value of its own pattern, not null; text in a number's column that is no number is a value by its own pattern; blank texts are values; symbols differ by spelling only in pattern;
-    * a load is one of its group; rows with a null load or group form a load or group of their own;
-    * a group with a single load has nothing to compare with, so nothing departs; repeated rows count as often as they come;
-    * an empty table gives no rows; a column that is null throughout has null ``least``, ``greatest`` and ``mode_share``;
-    * columns not named are ignored, whatever their names.
-    """
+def _value_counts(df: DataFrame, columns: dict[str, str], load: str, group: str) -> DataFrame:
+    """``g, l, c, v, x, k``: how often each value comes in a load's column; numbers stay numbers (x), all else is text (v)."""
+
     def cell(name: str, kind: str) -> Column:
-        """Numbers stay numbers (x), all else is text (v)."""
         if kind != "number":
             return F.struct(F.lit(name).alias("c"), F.col(name).cast("string").alias("v"), F.lit(None).cast("double").alias("x"))
         x = F.col(name).try_cast("double")
@@ -74,38 +71,76 @@ def profile_loads(df: DataFrame, columns: dict[str, str], load: str = "load_id",
         return F.struct(F.lit(name).alias("c"), text.alias("v"), x.alias("x"))
 
     each = F.explode(F.array(*[cell(c, kind) for c, kind in columns.items()]))
-    long = df.select(F.col(group).alias("g"), F.col(load).alias("l"), each.alias("e")).select("g", "l", "e.c", "e.v", "e.x")
-    counts = long.groupBy("g", "l", "c", "v", "x").agg(F.count("*").alias("k"))
-
-    def by_kind(f) -> Column:
-        out = F.lit(None)
-        for name, kind in columns.items():
-            out = F.when(F.col("c") == name, f(kind)).otherwise(out)
-        return out
-
-    key = ["g", "l", "c"]
-    null_key = lambda k: F.coalesce(F.col(k).cast("string"), F.lit("\u0000"))
-    counts = counts.select(null_key("g").alias("g"), null_key("l").alias("l"), "c", "v", "x", "k")
-    x = F.col("x")
-    day = F.when(F.col("v").rlike(r"^\d{4}-\d{2}-\d{2}"), F.unix_date(F.substring("v", 1, 10).try_cast("date")))
-    counts = counts.select(
-        "*",
-        F.when(x.isNotNull(), _number_pattern(x)).otherwise(_pattern(F.col("v"))).alias("pattern"),
-        _number_bin(x).alias("bin"),
-        by_kind(lambda kind: day if kind == "date" else F.lit(None).cast("int")).alias("day"),
-        by_kind(lambda kind: F.upper(strip(F.col("v"))) if kind == "text" else F.lit(None).cast("string")).alias("word"),
-    )
-    some = F.col("v").isNotNull() | x.isNotNull()
+    key = lambda k: F.coalesce(F.col(k).cast("string"), F.lit("\u0000"))
+    long = df.select(key(group).alias("g"), key(load).alias("l"), each.alias("e")).select("g", "l", "e.c", "e.v", "e.x")
+    return long.groupBy("g", "l", "c", "v", "x").agg(F.count("*").alias("k"))
+
+
+def _totals(rows: DataFrame, some: Column, k: Column, distinct: Column, mode: Column, least: list[Column], greatest: list[Column], *more: Column) -> DataFrame:
+    """One row per load and column with its exact figures."""
+    none = F.lit(0).cast("bigint")
+    one = rows.groupBy("g", "l", "c").agg(
+        F.sum(k).alias("n"), F.coalesce(F.sum(F.when(~some, k)), none).alias("n_null"), F.coalesce(F.sum(F.when(some, distinct)), none).alias("n_distinct"),
+        F.coalesce(F.min(least[0]).cast("string"), F.min(least[1])).alias("least"), F.coalesce(F.max(greatest[0]).cast("string"), F.max(greatest[1])).alias("greatest"),
+        F.max(F.when(some, mode)).alias("mode_n"), *more,
+    )
+    return one.withColumn("m", F.col("n") - F.col("n_null")).withColumn("mode_share", F.try_divide("mode_n", "m"))
+
+
+def count_loads(df: DataFrame, columns: dict[str, str], load: str = "load_id", group: str = "vendor_id") -> DataFrame:
+    """``group_id, load_id, column_name, n, n_null, n_distinct, least, greatest, mode_share``: the exact part of :func:`profile_loads` alone."""
+    counts = _value_counts(df, columns, load, group)
+    x, v, k = F.col("x"), F.col("v"), F.col("k")
+    finite = F.when(~F.isnan(x), x)
+    r = _totals(counts, v.isNotNull() | x.isNotNull(), k, F.lit(1), k, [finite, v], [finite, v])
+    return r.select(*_ids(df, load), "n", "n_null", "n_distinct", "least", "greatest", "mode_share")
+
+
+def _ids(df: DataFrame, load: str) -> list[Column]:
+    back = lambda c: F.when(F.col(c) != "\u0000", F.col(c))
+    return [back("g").alias("group_id"), back("l").cast(df.schema[load].dataType).alias("load_id"), F.col("c").alias("column_name")]
+
+
+def _cells(counts: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Counts reduced to ``g, l, c, pattern, bin, day, word`` with ``k, nd, mode`` and extremes, in one exchange that all readers share."""
+    x, v = F.col("x"), F.col("v")
     finite = F.when(~F.isnan(x), x)
-    summary = counts.groupBy(*key).agg(
-        F.sum("k").alias("n"),
-        F.coalesce(F.sum(F.when(~some, F.col("k"))), F.lit(0)).alias("n_null"),
-        F.count_if(some).alias("n_distinct"),
-        F.coalesce(F.min(finite).cast("string"), F.min("v")).alias("least"),
-        F.coalesce(F.max(finite).cast("string"), F.max("v")).alias("greatest"),
-        F.max(F.when(some, F.col("k"))).alias("mode_n"),
-        F.percentile("day", F.lit(0.5), F.col("k")).cast("int").alias("mid_day"),
+    day = F.when(v.rlike(r"^\d{4}-\d{2}-\d{2}"), F.unix_date(F.substring(v, 1, 10).try_cast("date")))
+    counts = counts.select(
+        "g", "l", "c", "k", "v", finite.alias("x"), F.when(x.isNotNull(), _number_pattern(x)).otherwise(_pattern(v)).alias("pattern"), _number_bin(x).alias("bin"),
+        _by_kind(columns, lambda kind: day if kind == "date" else F.lit(None).cast("int")).alias("day"), _by_kind(columns, lambda kind: F.upper(strip(v)) if kind == "text" else F.lit(None).cast("string")).alias("word"),
+    )
+    cells = counts.groupBy("g", "l", "c", "pattern", "bin", "day", "word").agg(
+        F.sum("k").alias("k"), F.count("*").alias("nd"), F.max("k").alias("mode"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("v").alias("v0"), F.max("v").alias("v1")
     )
+    whole = F.array(F.struct(*[c for c in cells.columns if c not in ("g", "c")]))  # as one array, so that every reader takes the same columns
+    return cells.select("g", "c", whole.alias("r")).repartition("g", "c").selectExpr("g", "c", "inline(r)")
+
+
+def profile_loads(df: DataFrame, columns: dict[str, str], load: str = "load_id", group: str = "vendor_id") -> DataFrame:
+    """One row per load and column with its profile and, in ``departs``, the reasons it departs from the group's other loads.
+
+    ``columns`` gives each column's kind: ``text``, ``number`` or ``date`` (ISO text or dates). Result: ``group_id,
+    load_id, column_name, n, n_null, n_distinct, least, greatest, mode_share, null_shift, pattern_shift, unseen_share,
+    outside_share, distinct_shift, gap, psi, p_value, departs`` (an array, empty where nothing departs).
+
+    * a column departs by ``nulls``, ``pattern`` or ``distribution``; what else is unusual of one that does is named too:
+      ``unseen`` words, ``range``, ``distinct`` values, ``mode``; ``p_value`` is the least of the three comparisons, at most
+      what sampling gives by chance over all comparisons of the group (an upper bound of the normal tail);
+    * ``unseen_share`` is that of words which few other loads have, ``outside_share`` that of bins beyond the usual range; each is
+      null for columns of the other kind;
+    * a text's ``gap`` is the share of words in excess of the other loads' shares, its ``psi`` that of the words; words that
+      come less than once a load count together, and where all do, only nulls and patterns can depart;
+    * NaN is a value of its own pattern, not null; text in a number's column that is no number is a value by its own pattern; blank texts are values; symbols differ by spelling only in pattern;
+    * a load is one of its group; rows with a null load or group form a load or group of their own;
+    * a group with a single load has nothing to compare with, so nothing departs; repeated rows count as often as they come;
+    * an empty table gives no rows; a column that is null throughout has null ``least``, ``greatest`` and ``mode_share``;
+    * columns not named are ignored, whatever their names.
+    """
+    cells = _cells(_value_counts(df, columns, load, group), columns)
+    key = ["g", "c", "l"]
+    some = F.col("pattern").isNotNull()
+    summary = _totals(cells, some, F.col("k"), F.col("nd"), F.col("mode"), [F.col("x0"), F.col("v0")], [F.col("x1"), F.col("v1")], F.percentile("day", F.lit(0.5), F.col("k")).cast("int").alias("mid_day"))
     # a load's expected middle day: that of the loads around it, carried on at the vendor's pace
     every = Window.partitionBy("g", "c")
     mid = lambda c: F.percentile_approx(c, 0.5).over(every)
@@ -115,104 +150,122 @@ def profile_loads(df: DataFrame, columns: dict[str, str], load: str = "load_id",
     summary = summary.withColumn("near", F.array_sort(near)).withColumn("astray", F.coalesce(F.col("mid_day") - F.get("near", F.floor(F.size("near") / 2).cast("int")), F.lit(0))).withColumn("jitter", mid(F.abs("astray")))
     apart = F.signum("astray") * F.greatest(F.abs("astray") - JITTER * F.col("jitter"), F.lit(0))
     summary = summary.withColumn("origin", (F.col("mid_day") - apart).cast("int")).drop("near")
-    # a row per load and column; both this and the frequencies below are used several times
-    summary = cut(summary.withColumn("m", F.col("n") - F.col("n_null")).withColumn("mode_share", F.try_divide("mode_n", "m")))
-    # frequencies of patterns, bins and words; a date's bin is its distance from the load's expected day
-    binned = counts.where(some).join(summary.select(*key, "origin", "m"), key)
-    offset = F.greatest(F.least(F.col("day") - F.col("origin"), F.lit(4000)), F.lit(-4000))
+
+    # frequencies of a load; a date's bin is its distance from the load's expected day
+    days = cells.join(summary.select(*key, "origin"), key)
+    spot = F.coalesce("bin", F.col("day") - F.col("origin"))
     facet = lambda kind, f: F.when(f.isNotNull(), F.struct(F.lit(kind).alias("kind"), f.cast("string").alias("facet")))
-    facets = F.array_compact(F.array(facet("pattern", F.col("pattern")), facet("bin", F.coalesce("bin", offset)), facet("word", F.col("word"))))
-    shares = cut(binned.select(*key, "m", "k", F.explode(facets).alias("f")).groupBy(*key, "m", "f.kind", "f.facet").agg(F.sum("k").alias("k")))
-    # one row per facet of a group: its share in every load that holds it, and zero in the others
-    loads = summary.where("m > 0").groupBy("g", "c").agg(F.collect_set(F.struct("l", "m")).alias("loads"))
-    grid = shares.groupBy("g", "c", "kind", "facet").agg(F.map_from_entries(F.collect_list(F.struct("l", (F.col("k") / F.col("m")).alias("s")))).alias("s"), F.sum("k").alias("total")).join(loads, ["g", "c"])
-    n_loads = F.size("loads")
-    absent = n_loads - F.size("s")
-    at = F.floor((n_loads - 1) / 2).cast("int")
-    expected = F.when(at < absent, 0.0).otherwise(F.get(F.array_sort(F.map_values("s")), at - absent))
-    rare = F.size("s") <= F.greatest(F.lit(1), F.floor(n_loads / 4))
-    rows = F.aggregate("loads", F.lit(0).cast("bigint"), lambda a, o: a + o.m)
-    grid = grid.select("g", "c", "kind", "facet", expected.alias("e"), rare.alias("rare"), "s", "total", rows.alias("rows"), F.explode("loads").alias("o"))
-    grid = grid.select("g", F.col("o.l").alias("l"), "c", "kind", "facet", "e", "rare", "total", "rows", F.col("o.m").alias("m"), F.coalesce(F.try_element_at("s", F.col("o.l")), F.lit(0.0)).alias("s"))
-    # words: counts that the other loads lead to expect; those of less than one are one cell together
-    k, word = F.rint(F.col("s") * F.col("m")), F.col("kind") == "word"
-    expect = F.try_divide((F.col("total") - k) * F.col("m"), F.col("rows") - F.col("m"))
-    grid = grid.withColumns({"k": F.when(word, k), "x": F.when(word, expect)})
+    null = F.when(some, F.lit("some")).otherwise("null")
+    facets = F.array_compact(F.array(facet("null", null), facet("pattern", F.col("pattern")), facet("bin", spot), facet("word", F.col("word"))))
+    shares = days.select(*key, "k", F.explode(facets).alias("f")).groupBy(*key, "f.kind", "f.facet").agg(F.sum("k").alias("k"))
+    part, cell, mine = Window.partitionBy("g", "c", "kind"), Window.partitionBy("g", "c", "kind", "facet"), Window.partitionBy(*key, "kind")
+    shares = shares.select("*", F.sum("k").over(mine).alias("tot"), F.row_number().over(mine.orderBy("facet")).alias("one"), F.sum("k").over(cell).alias("total"), F.count("*").over(cell).alias("held"))
+    shares = shares.select("*", (F.col("k") / F.col("tot")).alias("s"), F.count_if(F.col("one") == 1).over(part).alias("loads"), F.sum("k").over(part).alias("rows"))
+    # the median of a facet's shares, zero in loads without it
+    rank = F.row_number().over(cell.orderBy("s"))
+    absent = F.col("loads") - F.col("held")
+    at = F.floor((F.col("loads") - 1) / 2)
+    shares = shares.withColumn("rank", rank)
+    shares = shares.withColumn("e", F.coalesce(F.max(F.when(F.col("rank") == at - absent + 1, F.col("s"))).over(cell), F.lit(0.0)))
+    shares = shares.withColumn("rare", F.col("held") <= F.greatest(F.lit(1), F.floor(F.col("loads") / 4))).withColumn("common", F.when(F.col("kind") == "bin", F.col("e") > 0).otherwise(F.col("total") >= F.col("loads")))
+    # cells that many loads share are set against every load
+    shared = shares.where("common AND rank = 1").select("g", "c", "kind", "facet", "total", "e", "rare", "common")
+    held = shares.where("one = 1").select("g", "c", "kind", "l", "tot", "rows")
+    zeros = shared.join(held, ["g", "c", "kind"]).withColumns({"k": F.lit(0).cast("bigint"), "s": F.lit(0.0)})
+    whole = [*key, "kind", "facet", "k", "s", "tot", "total", "rows", "e", "rare", "common"]
+    grid = shares.select(whole).unionByName(zeros.select(whole))
+    grid = grid.groupBy(*key, "kind", "facet").agg(F.max("k").alias("k"), F.max("s").alias("s"), *[F.first(c).alias(c) for c in ("tot", "total", "rows", "e", "rare", "common")])
+    grid = grid.withColumn("x", F.try_divide((F.col("total") - F.col("k")) * F.col("tot"), F.col("rows") - F.col("tot")))
     k, x = F.col("k"), F.col("x")
     stability = lambda k, x, m: (k - x) / (m + 1) * F.ln((k + 0.5) / (x + 0.5))
-    per_facet = grid.where("kind <> 'bin'").groupBy(*key, "m").agg(
-        F.sum(F.when(F.col("kind") == "pattern", F.greatest(F.col("s") - F.col("e"), F.lit(0.0)))).alias("pattern_shift"),
-        F.sum(F.when((F.col("kind") == "word") & F.col("rare"), F.col("s"))).alias("unseen_share"),
-        F.sum(F.when(x >= 1, (k - x) * (k - x) / x)).alias("chi"),
-        F.count_if(x >= 1).alias("cells"),
-        F.sum(F.when(x >= 1, stability(k, x, F.col("m")))).alias("word_psi"),
-        F.sum(F.greatest(k - x, F.lit(0.0)) / F.col("m")).alias("word_gap"),
-        F.coalesce(F.sum(F.when(x < 1, k)), F.lit(0.0)).alias("k"),
-        F.coalesce(F.sum(F.when(x < 1, x)), F.lit(0.0)).alias("x"),
-    )
-    # chi-square and its normal deviate (Wilson and Hilferty); the effect is free of what noise alone adds
-    rest = F.col("k") - F.col("x")
-    chi = F.col("chi") + rest * rest / F.greatest(F.col("x"), F.lit(1.0))
+    common = lambda c: F.sum(F.when(F.col("common"), c))
+    per = grid.where("kind <> 'bin'").groupBy(*key, "kind").agg(
+        F.first("tot").alias("tot"), F.first("rows").alias("rows"),
+        F.sum(F.greatest(F.col("s") - F.col("e"), F.lit(0.0))).alias("shift"),
+        F.coalesce(F.sum(F.when(F.col("rare"), F.col("s"))), F.lit(0.0)).alias("unseen"),
+        common((k - x) * (k - x) / F.greatest(x, F.lit(0.5))).alias("chi"), F.count_if("common").alias("cells"), common(stability(k, x, F.col("tot"))).alias("psi"),
+        common(F.greatest(k - x, F.lit(0.0)) / F.col("tot")).alias("gap"), F.coalesce(common(F.col("total")), F.lit(0)).alias("in_common"), F.coalesce(common(k), F.lit(0)).alias("k_common"),
+    )
+    # all other facets are one cell together
+    k = F.col("tot") - F.col("k_common")
+    x = F.coalesce((F.col("rows") - F.col("in_common") - k) * F.try_divide("tot", F.col("rows") - F.col("tot")), F.lit(0.0))
+    chi = F.col("chi") + (k - x) * (k - x) / F.greatest(x, F.lit(1.0))
     tail = 2 / (9 * F.col("cells"))
-    per_facet = per_facet.select(
-        *key, "pattern_shift", "unseen_share", "word_gap",
-        F.when(F.col("cells") > 0, F.col("word_psi") + stability(F.col("k"), F.col("x"), F.col("m"))).alias("word_psi"),
-        F.when(F.col("cells") > 0, (F.cbrt(chi / F.col("cells")) - (1 - tail)) / F.sqrt(tail)).alias("word_z"),
-        F.when(F.col("cells") > 0, (chi - F.col("cells")) / F.col("m")).alias("word_effect"),
+    tested = F.col("cells") > 0
+    per = per.select(
+        *key, "kind", "shift", "unseen", F.when(tested, F.col("gap") + F.greatest(k - x, F.lit(0.0)) / F.col("tot")).alias("gap"), F.when(tested, F.col("psi") + stability(k, x, F.col("tot"))).alias("psi"),
+        F.when(tested, (F.cbrt(chi / F.col("cells")) - (1 - tail)) / F.sqrt(tail)).alias("z"), F.when(tested, (chi - F.col("cells")) / F.col("tot")).alias("effect"),
+    )
+    of = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.col(c)))
+    per = per.groupBy(*key).agg(
+        of("pattern", "shift").alias("pattern_shift"), of("word", "unseen").alias("unseen_share"), of("word", "gap").alias("word_gap"), of("word", "psi").alias("word_psi"), of("word", "effect").alias("word_effect"),
+        *[of(kind, "z").alias(f"{kind}_z") for kind in ("null", "pattern", "word")],
     )
     # bins in order: cumulated frequencies, shares beyond the usual range, stability index over ten groups
-    bins = grid.where("kind = 'bin'").withColumn("b", F.col("facet").cast("int"))
-    bins = bins.withColumn("e", F.try_divide("e", F.sum("e").over(Window.partitionBy(*key))))
-    ordered = Window.partitionBy(*key).orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
-    bins = bins.select("*", F.sum("s").over(ordered).alias("cs"), F.sum("e").over(ordered).alias("ce"))
-    ends = bins.where("s > 0").groupBy(*key).agg(F.min("b").alias("lo"), F.max("b").alias("hi"))
-    usual = ends.groupBy("g", "c").agg(F.percentile_approx("lo", 0.5).alias("lo"), F.percentile_approx("hi", 0.5).alias("hi"))
-    bins = bins.join(usual, ["g", "c"])
+    bins = grid.where("kind = 'bin'").select(*key, F.col("tot").alias("m"), F.col("facet").cast("int").alias("b"), "s", "e")
+    load_bins = Window.partitionBy(*key)
+    bins = bins.withColumn("e", F.try_divide("e", F.sum("e").over(load_bins)))
+    ordered = load_bins.orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
+    bins = bins.select("*", F.sum("s").over(ordered).alias("cs"), F.sum("e").over(ordered).alias("ce"), F.min(F.when(F.col("s") > 0, F.col("b"))).over(load_bins).alias("lo"), F.max(F.when(F.col("s") > 0, F.col("b"))).over(load_bins).alias("hi"), F.row_number().over(load_bins.orderBy("b")).alias("one"))
+    usual = lambda c: F.percentile_approx(F.when(F.col("one") == 1, F.col(c)), 0.5).over(every)
+    bins = bins.withColumn("low", usual("lo")).withColumn("high", usual("hi"))
     # days that no load is expected to have are a group of their own; numbers have too many bins for that
-    part = F.when((F.col("e") == 0) & by_kind(lambda kind: F.lit(kind == "date")), 10).otherwise(F.least(F.floor((F.col("ce") - F.col("e") / 2) * 10), F.lit(9)))
-    still = by_kind(lambda kind: F.lit(BINS_BEYOND.get(kind, 0)))
-    beyond = (F.col("b") < F.col("lo") - still) | (F.col("b") > F.col("hi") + still)
-    parts = bins.groupBy(*key, "m", part.alias("part")).agg(F.sum("s").alias("s"), F.sum("e").alias("e"), F.max(F.abs(F.col("cs") - F.col("ce"))).alias("gap"), F.sum(F.when(beyond, F.col("s"))).alias("outside"))
+    group_of = F.when((F.col("e") == 0) & _by_kind(columns, lambda kind: F.lit(kind == "date")), 10).otherwise(F.least(F.floor((F.col("ce") - F.col("e") / 2) * 10), F.lit(9)))
+    still = _by_kind(columns, lambda kind: F.lit(BINS_BEYOND.get(kind, 0)))
+    beyond = (F.col("b") < F.col("low") - still) | (F.col("b") > F.col("high") + still)
+    parts = bins.groupBy(*key, "m", group_of.alias("part")).agg(F.sum("s").alias("s"), F.sum("e").alias("e"), F.max(F.abs(F.col("cs") - F.col("ce"))).alias("gap"), F.sum(F.when(beyond, F.col("s"))).alias("outside"))
     a, e = (F.col("s") * F.col("m") + 0.5) / (F.col("m") + 5), (F.col("e") * F.col("m") + 0.5) / (F.col("m") + 5)
-    per_bin = parts.groupBy(*key).agg(F.sum((a - e) * F.ln(a / e)).alias("psi"), F.max("gap").alias("gap"), F.coalesce(F.sum("outside"), F.lit(0.0)).alias("outside_share"))
+    x = F.col("e") * F.col("m")
+    per_bin = parts.groupBy(*key).agg(
+        F.sum((a - e) * F.ln(a / e)).alias("psi"), F.max("gap").alias("gap"), F.coalesce(F.sum("outside"), F.lit(0.0)).alias("outside_share"), F.sum(F.pow(F.col("s") * F.col("m") - x, F.lit(2.0)) / F.greatest(x, F.lit(1.0))).alias("chi"), F.count("*").alias("cells")
+    )
+    tail = 2 / (9 * F.col("cells"))
+    per_bin = per_bin.select(*key, "psi", "gap", "outside_share", ((F.cbrt(F.col("chi") / F.col("cells")) - (1 - tail)) / F.sqrt(tail)).alias("bin_z"))
     # against the medians of the group's loads
-    both = summary.join(per_facet, key, "left").join(per_bin, key, "left").withColumns({"gap": F.coalesce("gap", "word_gap"), "psi": F.coalesce("psi", "word_psi")})
+    both = summary.join(per, key, "left").join(per_bin, key, "left").withColumns({"gap": F.coalesce("gap", "word_gap"), "psi": F.coalesce("psi", "word_psi")})
     per_row = F.try_divide("n_distinct", "m")
     log_of = lambda c: F.when(c > 0, F.ln(c))
     distinct = [log_of(c) - log_of(mid(c)) for c in (F.col("n_distinct").cast("double"), per_row)]
     smaller = F.when(F.signum(distinct[0]) == F.signum(distinct[1]), F.when(F.abs(distinct[0]) < F.abs(distinct[1]), distinct[0]).otherwise(distinct[1])).otherwise(0.0)
     both = both.select("*", F.try_divide("n_null", "n").alias("null_share"), F.count("*").over(every).alias("n_loads"))
     both = both.select(
-        *[c for c in both.columns if c not in ("word_z", "word_effect")],
+        *both.columns,
         (F.col("null_share") - mid("null_share")).alias("null_shift"),
         smaller.alias("distinct_shift"),
         (F.col("unseen_share") - mid("unseen_share")).alias("unseen_shift"),
         (F.col("outside_share") - mid("outside_share")).alias("outside_shift"),
         (F.col("mode_share") - mid("mode_share")).alias("mode_shift"),
         mid("mode_share").alias("mode_mid"),
-        (F.col("word_z") - mid("word_z")).alias("word_z"),
-        "word_effect",
+        *[(F.col(f"{kind}_z") - mid(f"{kind}_z")).alias(f"{kind}_dz") for kind in ("null", "pattern", "word", "bin")],
         ((F.col("gap") - mid("gap")) * F.sqrt("m")).alias("gap_shift"),
         ((F.col("psi") - mid("psi")) * F.col("m")).alias("psi_shift"),
         (F.abs("astray") > F.greatest(F.abs("pace") / 2, JITTER * F.col("jitter"))).alias("misdated"),
     )
-    scatter = F.greatest(F.lit(1.0), 1.4826 * mid(F.abs("word_z")))
-    both = both.withColumn("mixed", (F.col("word_z") > NOISE * scatter) & (F.col("word_effect") > 4 * SHARE**2))
+    # chance of so great a deviate, as the source's own loads scatter, over all its comparisons (Mills' bound of the tail)
+    tests = F.col("n_loads") * len(columns) * 3
     wide = lambda c, usual: F.greatest(F.lit(1.0), mid(F.abs(c)) / usual)
+    deviate = lambda kind: F.col(f"{kind}_dz") / F.greatest(F.lit(1.0), 1.4826 * mid(F.abs(F.col(f"{kind}_dz"))))
+    chance = lambda z: F.when(z > 1, F.least(F.lit(1.0), tests * F.exp(-z * z / 2) / (z * 2.5066282746310002))).when(z.isNotNull(), 1.0)
+    both = both.withColumns({f"{kind}_d": deviate(kind) for kind in ("null", "pattern", "word", "bin")})
+    both = both.withColumns({f"{kind}_p": chance(F.col(f"{kind}_d")) for kind in ("null", "pattern", "word", "bin")})
     both = both.withColumn("uneven", (F.col("gap_shift") > F.greatest(GAP * wide("gap_shift", GAP_SCATTER), LEAST_GAP * F.sqrt("m"))) & (F.col("psi_shift") > PSI * wide("psi_shift", PSI_SCATTER)))
     sd = F.sqrt(F.col("mode_mid") * (1 - F.col("mode_mid")) / F.col("m"))
-    reasons = {
-        "nulls": F.col("null_shift") > SHARE,
-        "pattern": F.col("pattern_shift") > SHARE,
+    moved = {
+        "nulls": (F.col("null_p") < ALPHA) & (F.col("null_shift") > SHARE),
+        "pattern": (F.col("pattern_p") < ALPHA) & (F.col("pattern_shift") > SHARE),
+        "distribution": _by_kind(columns, lambda kind: (F.col("word_p") < ALPHA) & (F.col("word_effect") > 4 * SHARE**2) if kind == "text" else F.col("uneven")),
+    }
+    described = {
         "unseen": F.col("unseen_shift") > SHARE,
         "range": (F.col("outside_shift") > SHARE) | F.col("misdated"),
         "distinct": F.abs("distinct_shift") > DISTINCT,
         "mode": F.col("mode_shift") > MODE_SHARE + 3 * sd,
-        "distribution": by_kind(lambda kind: F.col("mixed") if kind == "text" else F.col("uneven")),
     }
-    departs = F.array_compact(F.array(*[F.when((F.col("n_loads") > 1) & r, F.lit(name)) for name, r in reasons.items()]))
-    back = lambda c: F.when(F.col(c) != "\u0000", F.col(c))
+    named = lambda reasons: F.array_compact(F.array(*[F.when(r, F.lit(name)) for name, r in reasons.items()]))
+    both = both.withColumn("moved", F.when(F.col("n_loads") > 1, named(moved)).otherwise(F.array().cast("array<string>"))).withColumn("described", named(described))
+    departs = F.when(F.size("moved") > 0, F.concat("moved", "described")).otherwise(F.col("moved"))
+    p = F.least("null_p", "pattern_p", F.coalesce("word_p", "bin_p"))
     return both.select(
-        back("g").alias("group_id"), back("l").cast(df.schema[load].dataType).alias("load_id"), F.col("c").alias("column_name"), "n", "n_null", "n_distinct", "least", "greatest",
-        *[F.col(c).cast("double").alias(c) for c in ("mode_share", "null_shift", "pattern_shift", "unseen_share", "outside_share", "distinct_shift", "gap", "psi")], departs.alias("departs"),
+        *_ids(df, load), "n", "n_null", "n_distinct", "least", "greatest",
+        *[F.col(c).cast("double").alias(c) for c in ("mode_share", "null_shift", "pattern_shift", "unseen_share", "outside_share", "distinct_shift", "gap", "psi")], p.alias("p_value"), departs.alias("departs"),
     )

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.operators.column_profile import profile_loads
+from panelspark.operators.column_profile import count_loads, profile_loads
 from panelspark.operators.drift import field_changes, read_studies, schema_changes
 from panelspark.operators.grid import holdout_error, regular_grid
 from panelspark.operators.parse_rows import CLOSE_NAMES, DATE_NAMES, DELIMITERS, MISSING, SYMBOL_NAMES, parse_lines
@@ -87,7 +87,7 @@ def p6_profile(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_counts(spark: SparkSession, d: str) -> DataFrame:
     """The exact part of the profile: counts, distinct and most frequent values."""
-    r = profile_loads(table(spark, d, "long_loads"), LOAD_COLUMNS)
+    r = count_loads(table(spark, d, "long_loads"), LOAD_COLUMNS)
     return r.select("load_id", "column_name", "n", "n_null", "n_distinct", F.round("mode_share", 9).alias("mode_share"))
 
 
