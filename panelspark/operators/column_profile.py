@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.functions.exprs import strip
+from panelspark.plans.lineage import shared
 
 SHARE = 0.12  # share of values that has to depart; "about a sixth" less the noise of a load of some hundred rows
 ALPHA = 0.01  # probability, over all comparisons of a source, that sampling alone makes a column depart
@@ -113,8 +114,7 @@ def _cells(counts: DataFrame, columns: dict[str, str]) -> DataFrame:
     cells = counts.groupBy("g", "l", "c", "pattern", "bin", "day", "word").agg(
         F.sum("k").alias("k"), F.count("*").alias("nd"), F.max("k").alias("mode"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("v").alias("v0"), F.max("v").alias("v1")
     )
-    whole = F.array(F.struct(*[c for c in cells.columns if c not in ("g", "c")]))  # as one array, so that every reader takes the same columns
-    return cells.select("g", "c", whole.alias("r")).repartition("g", "c").selectExpr("g", "c", "inline(r)")
+    return shared(cells, "g", "c")
 
 
 def profile_loads(df: DataFrame, columns: dict[str, str], load: str = "load_id", group: str = "vendor_id") -> DataFrame:
@@ -149,7 +149,7 @@ def profile_loads(df: DataFrame, columns: dict[str, str], load: str = "load_id",
     near = F.array_compact(F.array(*[f("mid_day", k).over(step) + sign * k * F.col("pace") for f, sign in ((F.lag, 1), (F.lead, -1)) for k in range(1, AROUND + 1)]))
     summary = summary.withColumn("near", F.array_sort(near)).withColumn("astray", F.coalesce(F.col("mid_day") - F.get("near", F.floor(F.size("near") / 2).cast("int")), F.lit(0))).withColumn("jitter", mid(F.abs("astray")))
     apart = F.signum("astray") * F.greatest(F.abs("astray") - JITTER * F.col("jitter"), F.lit(0))
-    summary = summary.withColumn("origin", (F.col("mid_day") - apart).cast("int")).drop("near")
+    summary = shared(summary.withColumn("origin", (F.col("mid_day") - apart).cast("int")).drop("near"), "g", "c")
 
     # frequencies of a load; a date's bin is its distance from the load's expected day
     days = cells.join(summary.select(*key, "origin"), key)
@@ -169,13 +169,15 @@ def profile_loads(df: DataFrame, columns: dict[str, str], load: str = "load_id",
     shares = shares.withColumn("e", F.coalesce(F.max(F.when(F.col("rank") == at - absent + 1, F.col("s"))).over(cell), F.lit(0.0)))
     shares = shares.withColumn("rare", F.col("held") <= F.greatest(F.lit(1), F.floor(F.col("loads") / 4))).withColumn("common", F.when(F.col("kind") == "bin", F.col("e") > 0).otherwise(F.col("total") >= F.col("loads")))
     # cells that many loads share are set against every load
-    shared = shares.where("common AND rank = 1").select("g", "c", "kind", "facet", "total", "e", "rare", "common")
+    shares = shared(shares, "g", "c")
+    usual_cells = shares.where("common AND rank = 1").select("g", "c", "kind", "facet", "total", "e", "rare", "common")
     held = shares.where("one = 1").select("g", "c", "kind", "l", "tot", "rows")
-    zeros = shared.join(held, ["g", "c", "kind"]).withColumns({"k": F.lit(0).cast("bigint"), "s": F.lit(0.0)})
+    zeros = usual_cells.join(held, ["g", "c", "kind"]).withColumns({"k": F.lit(0).cast("bigint"), "s": F.lit(0.0)})
     whole = [*key, "kind", "facet", "k", "s", "tot", "total", "rows", "e", "rare", "common"]
     grid = shares.select(whole).unionByName(zeros.select(whole))
     grid = grid.groupBy(*key, "kind", "facet").agg(F.max("k").alias("k"), F.max("s").alias("s"), *[F.first(c).alias(c) for c in ("tot", "total", "rows", "e", "rare", "common")])
     grid = grid.withColumn("x", F.try_divide((F.col("total") - F.col("k")) * F.col("tot"), F.col("rows") - F.col("tot")))
+    grid = shared(grid, "g", "c")
     k, x = F.col("k"), F.col("x")
     stability = lambda k, x, m: (k - x) / (m + 1) * F.ln((k + 0.5) / (x + 0.5))
     common = lambda c: F.sum(F.when(F.col("common"), c))
