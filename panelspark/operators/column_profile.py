@@ -103,7 +103,7 @@ def _ids(df: DataFrame, load: str) -> list[Column]:
 
 
 def _cells(counts: DataFrame, columns: dict[str, str]) -> DataFrame:
-    """Counts reduced to ``g, l, c, pattern, bin, day, word`` with ``k, nd, mode`` and extremes, in one exchange that all readers share."""
+    """Counts reduced to ``g, l, c, pattern, bin, day, word, v`` with ``k, nd, mode`` and extremes, in one exchange that all readers share."""
     x, v = F.col("x"), F.col("v")
     finite = F.when(~F.isnan(x), x)
     day = F.when(v.rlike(r"^\d{4}-\d{2}-\d{2}"), F.unix_date(F.substring(v, 1, 10).try_cast("date")))
@@ -111,9 +111,8 @@ def _cells(counts: DataFrame, columns: dict[str, str]) -> DataFrame:
         "g", "l", "c", "k", "v", finite.alias("x"), F.when(x.isNotNull(), _number_pattern(x)).otherwise(_pattern(v)).alias("pattern"), _number_bin(x).alias("bin"),
         _by_kind(columns, lambda kind: day if kind == "date" else F.lit(None).cast("int")).alias("day"), _by_kind(columns, lambda kind: F.upper(strip(v)) if kind == "text" else F.lit(None).cast("string")).alias("word"),
     )
-    cells = counts.groupBy("g", "l", "c", "pattern", "bin", "day", "word").agg(
-        F.sum("k").alias("k"), F.count("*").alias("nd"), F.max("k").alias("mode"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("v").alias("v0"), F.max("v").alias("v1")
-    )
+    # numbers shrink to their bins; a text is a cell of its own, so that no text has to be compared on the way
+    cells = counts.groupBy("g", "l", "c", "pattern", "bin", "day", "word", "v").agg(F.sum("k").alias("k"), F.count("*").alias("nd"), F.max("k").alias("mode"), F.min("x").alias("x0"), F.max("x").alias("x1"))
     return shared(cells, "g", "c")
 
 
@@ -140,7 +139,7 @@ def profile_loads(df: DataFrame, columns: dict[str, str], load: str = "load_id",
     cells = _cells(_value_counts(df, columns, load, group), columns)
     key = ["g", "c", "l"]
     some = F.col("pattern").isNotNull()
-    summary = _totals(cells, some, F.col("k"), F.col("nd"), F.col("mode"), [F.col("x0"), F.col("v0")], [F.col("x1"), F.col("v1")], F.percentile("day", F.lit(0.5), F.col("k")).cast("int").alias("mid_day"))
+    summary = _totals(cells, some, F.col("k"), F.col("nd"), F.col("mode"), [F.col("x0"), F.col("v")], [F.col("x1"), F.col("v")], F.percentile("day", F.lit(0.5), F.col("k")).cast("int").alias("mid_day"))
     # a load's expected middle day: that of the loads around it, carried on at the vendor's pace
     every = Window.partitionBy("g", "c")
     mid = lambda c: F.percentile_approx(c, 0.5).over(every)
@@ -149,33 +148,39 @@ def profile_loads(df: DataFrame, columns: dict[str, str], load: str = "load_id",
     near = F.array_compact(F.array(*[f("mid_day", k).over(step) + sign * k * F.col("pace") for f, sign in ((F.lag, 1), (F.lead, -1)) for k in range(1, AROUND + 1)]))
     summary = summary.withColumn("near", F.array_sort(near)).withColumn("astray", F.coalesce(F.col("mid_day") - F.get("near", F.floor(F.size("near") / 2).cast("int")), F.lit(0))).withColumn("jitter", mid(F.abs("astray")))
     apart = F.signum("astray") * F.greatest(F.abs("astray") - JITTER * F.col("jitter"), F.lit(0))
-    summary = shared(summary.withColumn("origin", (F.col("mid_day") - apart).cast("int")).drop("near"), "g", "c")
+    summary = summary.withColumn("origin", (F.col("mid_day") - apart).cast("int")).drop("near")
+    size = lambda kind: F.col("n") if kind == "null" else F.col("m")  # noqa: E731  values that a load has for a comparison
+    summary = summary.select("*", *[f.alias(f"{a}_{kind}") for kind in ("null", "value") for a, f in (("loads", F.count_if(size(kind) > 0).over(every)), ("rows", F.sum(size(kind)).over(every)))])
+    summary = shared(summary, "g", "c")
 
     # frequencies of a load; a date's bin is its distance from the load's expected day
-    days = cells.join(summary.select(*key, "origin"), key)
+    sizes = ["n", "m", "loads_null", "rows_null", "loads_value", "rows_value"]
+    days = cells.join(summary.select(*key, "origin", *sizes), key)
     spot = F.coalesce("bin", F.col("day") - F.col("origin"))
-    facet = lambda kind, f: F.when(f.isNotNull(), F.struct(F.lit(kind).alias("kind"), f.cast("string").alias("facet")))
+    # a facet is a number or a text
+    facet = lambda kind, f: F.when(f.isNotNull(), F.struct(F.lit(kind).alias("kind"), (f if kind == "bin" else F.lit(None)).cast("int").alias("b"), (F.lit(None) if kind == "bin" else f).cast("string").alias("t")))
     null = F.when(some, F.lit("some")).otherwise("null")
     facets = F.array_compact(F.array(facet("null", null), facet("pattern", F.col("pattern")), facet("bin", spot), facet("word", F.col("word"))))
-    shares = days.select(*key, "k", F.explode(facets).alias("f")).groupBy(*key, "f.kind", "f.facet").agg(F.sum("k").alias("k"))
-    part, cell, mine = Window.partitionBy("g", "c", "kind"), Window.partitionBy("g", "c", "kind", "facet"), Window.partitionBy(*key, "kind")
-    shares = shares.select("*", F.sum("k").over(mine).alias("tot"), F.row_number().over(mine.orderBy("facet")).alias("one"), F.sum("k").over(cell).alias("total"), F.count("*").over(cell).alias("held"))
-    shares = shares.select("*", (F.col("k") / F.col("tot")).alias("s"), F.count_if(F.col("one") == 1).over(part).alias("loads"), F.sum("k").over(part).alias("rows"))
+    shares = days.select(*key, "k", *sizes, F.explode(facets).alias("f")).groupBy(*key, *sizes, "f.kind", "f.b", "f.t").agg(F.sum("k").alias("k"))
+    pick = lambda c: F.when(F.col("kind") == "null", F.col(f"{c}_null")).otherwise(F.col(f"{c}_value"))
+    shares = shares.select(*key, "kind", "b", "t", "k", F.when(F.col("kind") == "null", F.col("n")).otherwise(F.col("m")).alias("tot"), pick("loads").alias("loads"), pick("rows").alias("rows"))
+    cell = Window.partitionBy("g", "c", "kind", "b", "t")
+    shares = shares.withColumn("s", F.col("k") / F.col("tot"))
+    shares = shares.select("*", F.row_number().over(cell.orderBy("s")).alias("rank"), F.sum("k").over(cell).alias("total"), F.count("*").over(cell).alias("held"))
     # the median of a facet's shares, zero in loads without it
-    rank = F.row_number().over(cell.orderBy("s"))
     absent = F.col("loads") - F.col("held")
     at = F.floor((F.col("loads") - 1) / 2)
-    shares = shares.withColumn("rank", rank)
     shares = shares.withColumn("e", F.coalesce(F.max(F.when(F.col("rank") == at - absent + 1, F.col("s"))).over(cell), F.lit(0.0)))
     shares = shares.withColumn("rare", F.col("held") <= F.greatest(F.lit(1), F.floor(F.col("loads") / 4))).withColumn("common", F.when(F.col("kind") == "bin", F.col("e") > 0).otherwise(F.col("total") >= F.col("loads")))
     # cells that many loads share are set against every load
     shares = shared(shares, "g", "c")
-    usual_cells = shares.where("common AND rank = 1").select("g", "c", "kind", "facet", "total", "e", "rare", "common")
-    held = shares.where("one = 1").select("g", "c", "kind", "l", "tot", "rows")
+    usual_cells = shares.where("common AND rank = 1").select("g", "c", "kind", "b", "t", "total", "e", "rare", "common")
+    held = summary.select("g", "c", "l", F.explode(F.array(*[F.struct(F.lit(kind).alias("kind"), size(kind).alias("tot"), F.col("rows_null" if kind == "null" else "rows_value").alias("rows")) for kind in ("null", "pattern", "bin", "word")])).alias("h"))
+    held = held.select("g", "c", "l", "h.*").where("tot > 0")
     zeros = usual_cells.join(held, ["g", "c", "kind"]).withColumns({"k": F.lit(0).cast("bigint"), "s": F.lit(0.0)})
-    whole = [*key, "kind", "facet", "k", "s", "tot", "total", "rows", "e", "rare", "common"]
+    whole = [*key, "kind", "b", "t", "k", "s", "tot", "total", "rows", "e", "rare", "common"]
     grid = shares.select(whole).unionByName(zeros.select(whole))
-    grid = grid.groupBy(*key, "kind", "facet").agg(F.max("k").alias("k"), F.max("s").alias("s"), *[F.first(c).alias(c) for c in ("tot", "total", "rows", "e", "rare", "common")])
+    grid = grid.groupBy(*key, "kind", "b", "t").agg(*[F.max(c).alias(c) for c in ("k", "s", "tot", "total", "rows", "e", "rare", "common")])
     grid = grid.withColumn("x", F.try_divide((F.col("total") - F.col("k")) * F.col("tot"), F.col("rows") - F.col("tot")))
     grid = shared(grid, "g", "c")
     k, x = F.col("k"), F.col("x")
@@ -204,7 +209,7 @@ def profile_loads(df: DataFrame, columns: dict[str, str], load: str = "load_id",
         *[of(kind, "z").alias(f"{kind}_z") for kind in ("null", "pattern", "word")],
     )
     # bins in order: cumulated frequencies, shares beyond the usual range, stability index over ten groups
-    bins = grid.where("kind = 'bin'").select(*key, F.col("tot").alias("m"), F.col("facet").cast("int").alias("b"), "s", "e")
+    bins = grid.where("kind = 'bin'").select(*key, F.col("tot").alias("m"), "b", "s", "e")
     load_bins = Window.partitionBy(*key)
     bins = bins.withColumn("e", F.try_divide("e", F.sum("e").over(load_bins)))
     ordered = load_bins.orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
