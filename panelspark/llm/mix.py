@@ -3,8 +3,8 @@
 Every document has a fixed hash. A source takes whole copies of all its documents as far as they fit, and one more
 copy of those whose hash is below a threshold. The threshold comes from nested histograms: tokens by source and
 leading bits of the hash, the bucket in which the target falls, then the next bits inside that bucket alone. So
-nothing is sorted, no group is collected, and the final pass is a filter. Token counts are the only costly step
-and are written once to the checkpoint folder.
+nothing is sorted, no group is collected, and the final pass is a filter. Token counts are the only costly step;
+they go through one exchange, spread by document, that every level and the final pass read again.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.llm.encode import TOKENIZER, count_tokens
-from panelspark.plans.lineage import cut
+from panelspark.plans.lineage import shared
 
 BITS, LEVELS = 12, 4  # 4,096 buckets a level; 48 bits tell apart the documents of any corpus in practice
 
@@ -45,7 +45,8 @@ def mix_sources(
         F.min(F.struct(F.coalesce(F.col("target_share").cast("double"), F.lit(0.0)).alias("share"), F.coalesce(F.col("max_repeats").cast("bigint"), F.lit(1)).alias("repeats"))).alias("s")
     ).select("source", "s.share", F.greatest("s.repeats", F.lit(0)).alias("repeats"))
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.col(text).alias("text"))
-    counted = cut(count_tokens(rows.join(listed.select("source"), "source", "left_semi"), ["doc_id", "source"], tokenizer=tokenizer))
+    counted = count_tokens(rows.join(listed.select("source"), "source", "left_semi"), ["doc_id", "source"], tokenizer=tokenizer)
+    counted = shared(counted, "doc_id").select("doc_id", "source", "n_tokens")
     h = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("mixture")), 64 - BITS * LEVELS)
     counted = counted.select("doc_id", "source", "n_tokens", h.alias("h"))
 
@@ -54,7 +55,7 @@ def mix_sources(
     plan = plan.withColumn("budget", sizes.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("budget")).scalar())
     plan = plan.withColumn("target", F.col("share") * F.col("budget")).withColumn("short", F.col("size") * F.col("repeats") < F.col("target"))
     whole = F.when(F.col("short"), F.col("repeats")).otherwise(F.coalesce(F.floor(F.try_divide("target", "size")), F.lit(0)))
-    plan = cut(plan.withColumn("whole", whole.cast("bigint")).withColumn("rest", F.when(F.col("short"), 0.0).otherwise(F.col("target") - F.col("whole") * F.col("size"))))
+    plan = plan.withColumn("whole", whole.cast("bigint")).withColumn("rest", F.when(F.col("short"), 0.0).otherwise(F.col("target") - F.col("whole") * F.col("size")))
 
     # nested thresholds: prefix is the boundary bucket so far, rest what is still wanted inside it
     limit = plan.select("source", F.lit(0).cast("bigint").alias("prefix"), "rest", F.lit(0).cast("bigint").alias("t"))
@@ -69,7 +70,7 @@ def mix_sources(
         limit = edge.select("source", F.col("e.b").alias("prefix"), (F.col("e.rest") - (F.col("e.upto") - F.col("e.t"))).alias("rest"), F.col("e.t").alias("t"))
     # the last bucket, in practice one document, is taken if that comes nearer to the target
     limit = limit.select("source", F.when(F.col("t") - F.col("rest") < F.col("rest"), F.col("prefix") + 1).otherwise(F.col("prefix")).alias("below"))
-    plan = cut(plan.join(limit, "source", "left"))
+    plan = plan.join(limit, "source", "left")
     some = F.when(F.col("rest") > 0, F.col("below"))
     taken = counted.join(plan.select("source", "whole", some.alias("below"), "repeats"), "source")
     copies = F.least(F.col("whole") + F.when(F.col("h") < F.col("below"), 1).otherwise(0), F.col("repeats"))
