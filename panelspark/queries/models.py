@@ -20,7 +20,10 @@ from panelspark.queries.series import _TRIALS, _sma_trials
 _GRID = {"fast": [3, 5, 8], "slow": [13, 26, 52]}
 
 
-@query()
+@query(
+    """SELECT CAST(row_number() OVER (ORDER BY f, s) - 1 AS INTEGER) AS trial_id, params, substr(sha256(params), 1, 12) AS params_hash
+      FROM (SELECT f, s, '{"fast": ' || f || ', "slow": ' || s || '}' AS params FROM (SELECT unnest([3, 5, 8]) AS f), (SELECT unnest([13, 26, 52]) AS s))"""
+)
 def grid(spark, d):
     return sw.expand_grid(spark, _GRID)
 

@@ -99,6 +99,12 @@ def p7_grid(spark: SparkSession, d: str) -> DataFrame:
     return regular_grid(table(spark, d, "long_marks"), table(spark, d, "feeds"))
 
 
+def p7_periods(spark: SparkSession, d: str) -> DataFrame:
+    """The grid without what imputation makes of the missing periods."""
+    known = F.when(~F.col("filled"), F.round("value", 6))
+    return p7_grid(spark, d).select("source", "slot_s", "n", "filled", known.alias("value"))
+
+
 def p7_holdout(spark: SparkSession, d: str) -> DataFrame:
     """Errors of the imputation and of a straight line at hidden readings."""
     return holdout_error(table(spark, d, "long_marks"), table(spark, d, "feeds"))
@@ -108,7 +114,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return p7_grid(spark, d).where("filled").select(F.col("source").alias("symbol"), "slot_s")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_flags, p1_cutoffs, p2_found, p2_times, p3_found, p3_loaded, p4_found, p4_trailing, p5_found, p5_changes, p5_studies, p6_found, p6_counts, p6_profile, p7_found, p7_grid, p7_holdout)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_flags, p1_cutoffs, p2_found, p2_times, p3_found, p3_loaded, p4_found, p4_trailing, p5_found, p5_changes, p5_studies, p6_found, p6_counts, p6_profile, p7_found, p7_grid, p7_periods, p7_holdout)}
 
 _CLOSES = """
 closes AS (SELECT DISTINCT upper(trim(symbol)) AS symbol, date AS day, close FROM long_prices
@@ -136,6 +142,12 @@ ORACLE: dict[str, str] = {
       days AS (SELECT symbol, g, slot_s // 86400 AS d, min(slot_s) AS a, max(slot_s) AS z FROM slots GROUP BY 1, 2, 3),
       grid AS (SELECT symbol, unnest(generate_series(a, z, g)) AS slot_s FROM days)
       SELECT symbol, slot_s FROM grid EXCEPT SELECT symbol, slot_s FROM slots""",
+    "p7_periods": """WITH marks AS (SELECT upper(trim(symbol)) AS symbol, CAST(floor(epoch(date)) AS BIGINT) AS t, CAST(grid_s AS BIGINT) AS g, close
+        FROM long_marks JOIN feeds USING (feed_id) WHERE symbol IS NOT NULL AND trim(symbol) <> '' AND close IS NOT NULL AND isfinite(close)),
+      slots AS (SELECT symbol, g, t - t % g AS slot_s, count(*) AS n, avg(close) AS v FROM marks GROUP BY 1, 2, 3),
+      days AS (SELECT symbol, g, slot_s // 86400 AS d, min(slot_s) AS a, max(slot_s) AS z FROM slots GROUP BY 1, 2, 3),
+      grid AS (SELECT symbol, unnest(generate_series(a, z, g)) AS slot_s FROM days)
+      SELECT symbol AS source, slot_s, coalesce(n, 0) AS n, n IS NULL AS filled, round(v, 6) AS value FROM grid LEFT JOIN slots USING (symbol, slot_s)""",
 }
 
 
@@ -163,16 +175,19 @@ _TRIM = "trim({}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || c
 _ROLE = f"CASE WHEN n IN {_in(DATE_NAMES)} THEN 'date' WHEN n IN {_in(SYMBOL_NAMES)} THEN 'symbol' WHEN n IN {_in(CLOSE_NAMES)} THEN 'close' END"
 _COUNTS = "[" + ", ".join(f"{{'k': length(b) - length(replace(b, '{d}', '')), 'i': {-i}, 'd': '{d}'}}" for i, d in enumerate(DELIMITERS)) + "]"
 
-ORACLE["p3_found"] = f"""WITH t AS (SELECT line_id, file_id, line_no, regexp_replace(regexp_replace(line, chr(13) || '$', ''), '^' || chr(65279), '') AS t FROM long_lines),
+_LINES = f"""WITH t AS (SELECT line_id, file_id, line_no, regexp_replace(regexp_replace(line, chr(13) || '$', ''), '^' || chr(65279), '') AS t FROM long_lines),
   h AS (SELECT file_id, arg_min(t, line_id) AS h FROM t WHERE line_no = 1 GROUP BY 1), b AS (SELECT file_id, h, regexp_replace(h, '"[^"]*(?:""[^"]*)*"', '', 'g') AS b FROM h),
   e AS (SELECT file_id, h, list_max({_COUNTS}).d AS d FROM b), n AS (SELECT file_id, d, list_transform({_each(_cells, 'h')}, lambda x: lower({_TRIM.format('x')})) AS names FROM e),
   r AS (SELECT file_id, d, list_transform(names, lambda n: {_ROLE}) AS roles FROM n), l AS (SELECT line_id, t, d, roles FROM t LEFT JOIN r USING (file_id) WHERE line_no <> 1 AND {_TRIM.format('t')} <> ''),
   q AS (SELECT line_id, {_each(_quoted, 't')} AS ok, {_each(_cells, 't')} AS c, roles FROM l),
   v AS (SELECT line_id, ok, length(c) = length(roles) AS wide, {", ".join(_TRIM.format(f"c[list_position(roles, '{x}')]") + f" AS {x}" for x in ("date", "symbol", "close"))} FROM q),
-  z AS (SELECT line_id, CASE WHEN NOT ok THEN 'quoting' WHEN NOT wide THEN 'column_count' WHEN NOT coalesce(regexp_full_match(date, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') AND try_cast(date AS DATE) IS NOT NULL, false) OR date LIKE '0000%' THEN 'bad_date'
+  z AS (SELECT line_id, date, symbol, close, CASE WHEN NOT ok THEN 'quoting' WHEN NOT wide THEN 'column_count' WHEN NOT coalesce(regexp_full_match(date, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') AND try_cast(date AS DATE) IS NOT NULL, false) OR date LIKE '0000%' THEN 'bad_date'
     WHEN NOT coalesce(regexp_full_match(symbol, '[A-Za-z0-9.-]{{1,12}}'), false) THEN 'bad_symbol'
-    WHEN NOT coalesce(lower(close) IN {_in(MISSING)} OR (regexp_full_match(close, '[+-]?([0-9]{{1,3}}(,[0-9]{{3}})+([.][0-9]*)?|[0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?') AND isfinite(try_cast(replace(close, ',', '') AS DOUBLE))), false) THEN 'bad_close' END AS reason FROM v)
-  SELECT line_id, reason FROM z WHERE reason IS NOT NULL"""
+    WHEN NOT coalesce(lower(close) IN {_in(MISSING)} OR (regexp_full_match(close, '[+-]?([0-9]{{1,3}}(,[0-9]{{3}})+([.][0-9]*)?|[0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?') AND isfinite(try_cast(replace(close, ',', '') AS DOUBLE))), false) THEN 'bad_close' END AS reason FROM v)"""
+
+ORACLE["p3_found"] = f"{_LINES} SELECT line_id, reason FROM z WHERE reason IS NOT NULL"
+ORACLE["p3_loaded"] = f"""{_LINES} SELECT line_id, CAST(date AS DATE) AS date, upper(symbol) AS symbol, CASE WHEN lower(close) NOT IN {_in(MISSING)} THEN CAST(replace(close, ',', '') AS DOUBLE) END AS close
+  FROM z WHERE reason IS NULL"""
 
 _KIND = "CASE json_type({0}) WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'NULL' THEN NULL ELSE 'number' END"
 

@@ -113,7 +113,13 @@ def cs_neutralize(spark, d):
     return panel.cs_neutralize(P.brand_signal(spark, d), ["size"]).select("symbol", "ts", "residual")
 
 
-@query()
+@query(
+    f"""{ctes("signal")}, c AS (SELECT symbol, ts, value - avg(value) OVER w AS v, size - avg(size) OVER w AS x, size * size - avg(size * size) OVER w AS y, count(*) OVER w AS m FROM signal WINDOW w AS (PARTITION BY ts)),
+      p AS (SELECT ts, sum(x * x) AS xx, sum(y * y) AS yy, sum(x * y) AS xy, sum(x * v) AS xv, sum(y * v) AS yv FROM c GROUP BY 1)
+      SELECT symbol, ts, CASE WHEN m > 3 THEN v - (xv * yy - yv * xy) / (xx * yy - xy * xy) * x - (yv * xx - xv * xy) / (xx * yy - xy * xy) * y END AS residual FROM c JOIN p USING (ts)""",
+    "residual",
+    dates="ts",
+)
 def cs_neutralize_two(spark, d):
     s = P.brand_signal(spark, d).withColumn("size2", F.col("size") * F.col("size"))
     return panel.cs_neutralize(s, ["size", "size2"]).select("symbol", "ts", "residual")

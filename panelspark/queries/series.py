@@ -244,6 +244,21 @@ def cpcv_paths(spark, d):
     return val.cpcv_paths(_sleeves(spark, d)).drop("deflated_sharpe")
 
 
-@query()
+_HELD_OUT = f"""{ctes("sleeves")}, s AS (SELECT series_id, pos, ret, count(*) OVER (PARTITION BY series_id) AS n FROM sleeves), b AS (SELECT series_id, pos, ret, {_SEG.format(k=8)} AS block FROM s),
+      k AS (SELECT series_id, block, ret, row_number() OVER (PARTITION BY series_id, block ORDER BY pos) - 1 AS k, count(*) OVER (PARTITION BY series_id, block) AS m FROM b), u AS (SELECT * FROM k WHERE k >= 1 AND k < m - 1),
+      cb AS (SELECT unnest(generate_series(0, {len(_PAIRS) - 1})) AS combo, unnest([{", ".join(str(list(c)) for c in _PAIRS)}]) AS blocks)"""
+_ERROR = "sqrt(greatest(1 - skew * sharpe + (kurt - 1) / 4 * sharpe * sharpe, {0}))"
+
+
+@query(
+    f"""{_HELD_OUT}, mo AS (SELECT series_id, combo, count(*) AS n_obs, coalesce(avg(ret) / nullif(stddev_samp(ret), 0), 0) AS sharpe, skewness(ret) AS skew, kurtosis(ret) + 3 AS kurt FROM u JOIN cb ON list_contains(blocks, block) GROUP BY 1, 2),
+      o AS (SELECT *, {val.expected_max_sharpe(9, 1.0)} * {_ERROR.format("0.0")} / sqrt(n_obs - 1) AS sr0 FROM mo), zz AS (SELECT *, (sharpe - sr0) * sqrt(n_obs - 1) / {_ERROR.format("1e-9")} AS z FROM o),
+      y AS (SELECT series_id, sharpe * sqrt(252) AS s, {_phi("z")} AS dsr FROM zz),
+      r AS (SELECT series_id, count(*) AS n_paths, avg(s) AS mean, coalesce(stddev_samp(s), 0) AS std, min(s) AS least, quantile_cont(s, 0.25) AS p25, median(s) AS median, quantile_cont(s, 0.75) AS p75, max(s) AS greatest,
+        avg(CASE WHEN s > 0 THEN 1.0 ELSE 0 END) AS share_positive, median(dsr) AS deflated_median, CAST(0 AS BIGINT) AS n_short FROM y GROUP BY 1)
+      SELECT *, CASE WHEN median <= 0 OR deflated_median < 0.5 THEN 'likely_noise' WHEN deflated_median >= 0.9 THEN 'robust' ELSE 'inconclusive' END AS verdict FROM r""",
+    "mean std least p25 median p75 greatest share_positive deflated_median",
+    5,
+)
 def cpcv(spark, d):
     return val.cpcv(_sleeves(spark, d), n_trials=9)
