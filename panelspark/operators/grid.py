@@ -88,7 +88,7 @@ def choose_embedding(value: np.ndarray, known: np.ndarray) -> tuple:
     error = lambda x: float(np.square(x[hidden] - value[hidden]).sum())
     long = ((WINDOW, RANK, 1.0),)
     line, *tried = (error(x) for x in (_line(start, left), *(_settle(start, left, parts, ROUNDS, TRIAL_SETTLED)[0] for parts in (SHORT, long))))
-    if tried[1] < CLEARLY * min(line, tried[0]):
+    if len(hidden) >= WINDOW and tried[1] < CLEARLY * min(line, tried[0]):  # fewer readings than rows say nothing of the window
         return long
     return SHORT if tried[0] < line else ()
 
