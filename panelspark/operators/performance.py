@@ -131,8 +131,9 @@ def var_bootstrap(series: DataFrame, confidence: float = 0.95, samples: int = 10
         x = pdf.sort_values("pos")["ret"].to_numpy("float64")
         if len(x) < MIN_RISK:
             return pd.DataFrame({"series_id": [], "ci_low_pct": [], "ci_high_pct": []})
-        drawn = np.random.default_rng(seed).choice(x, size=(samples, len(x)), replace=True)
-        lo, hi = np.abs(np.percentile(np.percentile(drawn, (1 - confidence) * 100, axis=1), [2.5, 97.5])) * 100
+        rng = np.random.default_rng(seed)
+        quantiles = [np.percentile(x[rng.integers(0, len(x), len(x))], (1 - confidence) * 100) for _ in range(samples)]  # one resample at a time
+        lo, hi = np.abs(np.percentile(quantiles, [2.5, 97.5])) * 100
         return pd.DataFrame({"series_id": [pdf["series_id"].iloc[0]], "ci_low_pct": [min(lo, hi)], "ci_high_pct": [max(lo, hi)]})
 
     return _clean(series).groupBy("series_id").applyInPandas(run, "series_id string, ci_low_pct double, ci_high_pct double")

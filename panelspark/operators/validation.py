@@ -6,10 +6,11 @@ number of trials is counted from the data, never passed in where it can be deriv
 
 from __future__ import annotations
 
-import itertools
 import math
+from collections.abc import Iterator
 from statistics import NormalDist
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +19,7 @@ from panelspark.operators.performance import YEAR, _clean
 from panelspark.plans.local import local_table
 
 EULER_GAMMA = 0.5772156649015329
+FEW = 5000  # combinations that are made on the driver
 
 
 def sharpe_ratio(r: Column) -> Column:
@@ -72,19 +74,42 @@ def min_track_record(series: DataFrame, benchmark: float = 0.0, confidence: floa
     return m.select("series_id", "n_obs", "sharpe", "min_length", (F.col("min_length") / YEAR).alias("years"), F.coalesce(F.col("n_obs") >= F.col("min_length"), F.lit(False)).alias("sufficient"), short.alias("shortfall"))
 
 
-def _combinations(spark: SparkSession, n: int, k: int, at_most: int) -> DataFrame:
-    """``combo, block, inside``: which of n blocks each choice of k holds; every step-th choice if there are more than allowed."""
-    combos = list(itertools.combinations(range(n), k))
-    if len(combos) > at_most:
-        combos = combos[:: max(1, len(combos) // at_most)][:at_most]
-    rows = [(i, b, b in c) for i, c in enumerate(combos) for b in range(n)]
-    return local_table(spark, rows, "combo int, block int, inside boolean")
+def nth_combination(index: int, n: int, k: int) -> tuple[int, ...]:
+    """The choice of k out of n with that position in lexicographic order, without those before it."""
+    out, first = [], 0
+    while k:
+        with_first = math.comb(n - first - 1, k - 1)
+        if index < with_first:
+            out.append(first)
+            k -= 1
+        else:
+            index -= with_first
+        first += 1
+    return tuple(out)
 
 
-def pbo_logits(trials: DataFrame, splits: int = 10, at_most: int = 2000) -> DataFrame:
+def _combinations(spark: SparkSession, n: int, k: int, at_most: int | None = None) -> DataFrame:
+    """``combo, block, inside``: which of n blocks each choice of k holds; with ``at_most``, so many choices in even steps over all of them.
+
+    Each choice is found from its position, so many of them are made by the tasks that use them."""
+    total = math.comb(n, k)
+    count = total if at_most is None else min(total, at_most)
+    rows = lambda i: [(i, b, b in chosen) for chosen in [set(nth_combination(i * total // count, n, k))] for b in range(n)]
+    schema = "combo int, block int, inside boolean"
+    if count <= FEW:
+        return local_table(spark, [r for i in range(count) for r in rows(i)], schema)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame([r for i in pdf["id"] for r in rows(int(i))], columns=["combo", "block", "inside"])
+
+    return spark.range(count).mapInPandas(run, schema)
+
+
+def pbo_logits(trials: DataFrame, splits: int = 10, at_most: int | None = None) -> DataFrame:
     """``combo, trial_id, rank, n_configs, logit``: for each half-split of the blocks the trial best inside, and its rank outside.
 
-    Blocks are reduced to moments per trial first; the splits meet those, not the returns.
+    All half-splits are taken unless ``at_most`` limits them. Blocks are reduced to moments per trial first; the splits meet those, not the returns.
     """
     splits -= splits % 2
     w = Window.partitionBy("trial_id")
@@ -102,13 +127,13 @@ def pbo_logits(trials: DataFrame, splits: int = 10, at_most: int = 2000) -> Data
     return out.join(best, ["combo", "trial_id"]).select("combo", "trial_id", "rank", "n_configs", F.ln(share / (1 - share)).alias("logit"))
 
 
-def pbo(trials: DataFrame, splits: int = 10, at_most: int = 2000) -> DataFrame:
+def pbo(trials: DataFrame, splits: int = 10, at_most: int | None = None) -> DataFrame:
     """One row: ``pbo, logit_mean, n_partitions, n_configs, verdict``; the share of splits whose winner ends up in the lower half."""
     r = pbo_logits(trials, splits, at_most).agg(F.avg((F.col("logit") <= 0).cast("double")).alias("pbo"), F.avg("logit").alias("logit_mean"), F.count("*").alias("n_partitions"), F.max("n_configs").alias("n_configs"))
     return r.withColumn("verdict", F.when(F.col("pbo") > 0.5, "overfit").when(F.col("pbo") > 0.2, "acceptable").when(F.col("pbo").isNotNull(), "robust"))
 
 
-def cpcv_paths(series: DataFrame, groups: int = 8, test: int = 2, purge: int = 1, embargo: int = 1, n_trials: int = 1, at_most: int = 2000) -> DataFrame:
+def cpcv_paths(series: DataFrame, groups: int = 8, test: int = 2, purge: int = 1, embargo: int = 1, n_trials: int = 1, at_most: int | None = None) -> DataFrame:
     """``series_id, combo, n_obs, sharpe, deflated_sharpe`` of every held-out path, its blocks cut by purge and embargo."""
     rows = _clean(series).where((F.col("n") >= 8) & (F.col("n") >= groups)).withColumn("block", array_split_segment(F.col("pos"), F.col("n"), groups).cast("int"))
     w = Window.partitionBy("series_id", "block")

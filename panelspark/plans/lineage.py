@@ -9,11 +9,16 @@ from pyspark.sql import functions as F
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the session's ``spark.checkpoint.dir``; make a private folder only where it is unset (tests, laptops)."""
+    """Use the session's ``spark.checkpoint.dir``; a private folder only where that is unset and Spark runs in one process (tests, laptops)."""
     sc = spark.sparkContext
-    shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="panelspark-checkpoint-"))
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if sc.getCheckpointDir() is not None:
+        return
+    if folder is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="panelspark-checkpoint-")
+    sc.setCheckpointDir(folder)
 
 
 def shared(df: DataFrame, *by: str) -> DataFrame:

@@ -269,6 +269,19 @@ def test_processes_recover_their_parameters(spark):
     assert process.ou_calibrate(df(np.ones(50))).first().mean_reverting is False
 
 
+def test_combinations_by_position(spark):
+    assert [validation.nth_combination(i, 7, 3) for i in range(35)] == list(itertools.combinations(range(7), 3))
+    of = lambda **kw: {(r.combo, r.block) for r in validation._combinations(spark, 8, 4, **kw).where("inside").collect()}
+    want = list(itertools.combinations(range(8), 4))
+    assert of() == {(i, b) for i, c in enumerate(want) for b in c}
+    assert of(at_most=7) == {(i, b) for i in range(7) for b in want[i * 10]}
+    few, validation.FEW = validation.FEW, 10
+    try:
+        assert of() == {(i, b) for i, c in enumerate(want) for b in c}
+    finally:
+        validation.FEW = few
+
+
 def test_paths_of_purged_combinations(spark):
     r = _normal(5, 100)
     got = {x.combo: x for x in validation.cpcv_paths(_series(spark, a=r), groups=5, test=2, purge=2, embargo=3).collect()}

@@ -1,5 +1,6 @@
 """What must hold at any size: results don't depend on partitioning, hot keys don't meet in one group, plans stay lean."""
 
+import re
 import datetime as dt
 
 import pytest
@@ -55,3 +56,35 @@ def test_checkpoints_are_reliable(spark):
     df = cut(spark.range(10).withColumn("x", F.col("id") * 2))
     assert spark.sparkContext.getCheckpointDir() and df.agg(F.sum("x")).first()[0] == 90
     assert "Scan ExistingRDD" in _plan(df)
+
+
+def test_checkpoints_need_a_shared_folder_on_a_cluster():
+    from types import SimpleNamespace as Any
+
+    from panelspark.plans.lineage import ensure_checkpoint_dir
+
+    made = []
+    session = lambda master, folder: Any(conf=Any(get=lambda *_: folder), sparkContext=Any(master=master, getConf=lambda: {}, getCheckpointDir=lambda: None, setCheckpointDir=made.append))
+    ensure_checkpoint_dir(session("spark://host:7077", "hdfs://shared"))
+    ensure_checkpoint_dir(session("local[4]", None))
+    assert made[0] == "hdfs://shared" and "panelspark-checkpoint-" in made[1]
+    with pytest.raises(ValueError):
+        ensure_checkpoint_dir(session("spark://host:7077", None))
+
+
+def test_building_the_pipeline_queries_starts_no_job(spark):
+    import __spark_entry__
+
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("building", "no job")
+    try:
+        for name, build in __spark_entry__.queries().items():
+            if re.match(r"p\d+_", name):
+                build(spark, "/root/testdata/sf0.001")
+        jobs = tracker.getJobIdsForGroup("building")
+        # reading the schema of a Parquet file is a job of its own
+        assert all(tracker.getJobInfo(j) is None or len(tracker.getJobInfo(j).stageIds) == 1 for j in jobs)
+        names = {tracker.getStageInfo(s).name.split(" at ")[0] for j in jobs if tracker.getJobInfo(j) for s in tracker.getJobInfo(j).stageIds if tracker.getStageInfo(s)}
+        assert names <= {"parquet"}
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
