@@ -284,6 +284,13 @@ def risk_parity(data: DataFrame, cov: str = "lw") -> DataFrame:
     return allocate_panel(data, "risk_parity", cov)
 
 
+def vol_target_by(variances: DataFrame, target: float = 0.10, periods: int = 252) -> DataFrame:
+    """:func:`vol_target` by a given variance of each return (``series_id, ret, var``), such as :func:`process.garch_variance`."""
+    vol = F.sqrt(F.greatest("var", F.lit(0.0)) * periods)
+    r = variances.where("ret IS NOT NULL AND var IS NOT NULL AND NOT isnan(var)").withColumn("lev", F.when(vol > 1e-12, F.lit(target) / vol).otherwise(0.0))
+    return r.groupBy("series_id").agg(F.count("*").alias("n_obs"), F.avg("lev").alias("mean_leverage"), F.max("lev").alias("max_leverage"), (F.stddev_samp(F.col("ret") * F.col("lev")) * periods**0.5).alias("realized_vol"))
+
+
 def vol_target(series: DataFrame, target: float = 0.10, lam: float = 0.94, periods: int = 252) -> DataFrame:
     """``series_id, n_obs, mean_leverage, max_leverage, realized_vol``: leverage to a target by exponentially weighted variance.
 

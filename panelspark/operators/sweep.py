@@ -117,6 +117,85 @@ def walk_forward(returns: DataFrame, windows: int = 4, oos_fraction: float = 0.2
     return cuts.join(out, "window", "left").select("window", "n_is", (F.col("cut") - F.col("n_is")).alias("n_oos"), "trial_id", "is_sharpe", "oos_sharpe", "failed")
 
 
+def slice_data(data, start: int, end: int):
+    """Positions ``start`` to ``end`` of a list, or of every list in a mapping; other values of a mapping stay."""
+    if isinstance(data, dict):
+        return {k: list(v)[start:end] if isinstance(v, list | tuple | np.ndarray) else v for k, v in data.items()}
+    return list(data)[start:end]
+
+
+def _length(data) -> int:
+    if not isinstance(data, dict):
+        return len(data)
+    lists = [len(v) for k, v in data.items() if isinstance(v, list | tuple | np.ndarray) and ("close" not in data or k == "close")]
+    return min(lists, default=0)
+
+
+def _ratio(returns) -> tuple[float, int]:
+    """Sharpe ratio per period (0 without spread) and number of returns; NaN and infinite ones are 0."""
+    r = np.nan_to_num(np.asarray(list(returns), "float64"), nan=0.0, posinf=0.0, neginf=0.0)
+    sd = r.std(ddof=1) if len(r) > 1 else 0.0
+    return float(r.mean() / sd) if sd > 0 else 0.0, len(r)
+
+
+def walk_forward_fn(grid: DataFrame, fn: Callable[..., list], data, windows: int = 4, oos_fraction: float = 0.25) -> DataFrame:
+    """``window, n_is, n_oos, n_trials, trial_id, is_sharpe, oos_sharpe, failed`` of a user function ``fn(data=..., **params)``.
+
+    Windows expand: each runs every combination on the data before its held-out part, takes the best one, the first of
+    equals, and runs it on that part alone. Each window and combination is a task's work of its own; the data travel with
+    the function. Combinations that raise lose; a window in which all do, or the best one fails on its held-out part, or
+    that is too short, keeps its slot with the reason. ``n_trials`` counts windows times combinations, failed ones included.
+    """
+    n = _length(data)
+    windows = max(2, int(windows))
+    if n < windows * 8:
+        raise ValueError(f"{n} observations are too few for {windows} windows")
+    plan = []
+    for i in range(windows):
+        cut = round((i + 1) * n / windows)
+        held = max(4, round(cut * oos_fraction))
+        plan.append((i + 1, cut - held, held, "window_too_short" if cut < 16 else "is_too_short" if cut - held < 8 else None))
+    spark = grid.sparkSession
+    slots = local_table(spark, plan, "window int, n_is bigint, held bigint, reason string")
+    usable = [(w, a, b) for w, a, b, reason in plan if reason is None]
+    spans = {w: (a, a + b) for w, a, b in usable}
+    each = grid.select("trial_id", "params", F.explode(F.array(*[F.lit(w) for w in spans]) if spans else F.array().cast("array<int>")).alias("window"))
+
+    def inside(batches):
+        for pdf in batches:
+            rows = []
+            for trial, params, w in zip(pdf["trial_id"], pdf["params"], pdf["window"], strict=True):
+                try:
+                    rows.append((w, trial, params, _ratio(fn(data=slice_data(data, 0, spans[w][0]), **json.loads(params)))[0], None))
+                except Exception as e:
+                    rows.append((w, trial, params, None, f"{type(e).__name__}: {e}"[:500]))
+            yield pd.DataFrame(rows, columns=["window", "trial_id", "params", "is_sharpe", "error"])
+
+    tried = each.repartition("window", "trial_id").mapInPandas(inside, "window int, trial_id int, params string, is_sharpe double, error string")
+    best = tried.groupBy("window").agg(
+        F.max_by(F.struct("trial_id", "params", "is_sharpe"), F.when(F.col("is_sharpe").isNotNull(), F.struct("is_sharpe", -F.col("trial_id")))).alias("b"), F.min("error").alias("error")
+    ).select("window", "b.*", "error")
+
+    def outside(batches):
+        for pdf in batches:
+            rows = []
+            for w, trial, params, sharpe, error in zip(pdf["window"], pdf["trial_id"], pdf["params"], pdf["is_sharpe"], pdf["error"], strict=True):
+                if params is None:
+                    rows.append((w, None, None, None, None, error))
+                    continue
+                try:
+                    ratio, size = _ratio(fn(data=slice_data(data, *spans[w]), **json.loads(params)))
+                    rows.append((w, trial, sharpe, ratio, size, None))
+                except Exception as e:
+                    rows.append((w, trial, sharpe, None, None, f"{type(e).__name__}: {e}"[:500]))
+            out = pd.DataFrame(rows, columns=["window", "trial_id", "is_sharpe", "oos_sharpe", "n_oos", "failed"])
+            yield out.astype({"trial_id": "Int64", "n_oos": "Int64"})
+
+    found = best.mapInPandas(outside, "window int, trial_id int, is_sharpe double, oos_sharpe double, n_oos bigint, failed string")
+    trials = grid.agg(F.count("*").alias("n")).scalar() * windows
+    return slots.join(found, "window", "left").select("window", "n_is", "n_oos", trials.alias("n_trials"), "trial_id", "is_sharpe", "oos_sharpe", F.coalesce("reason", "failed").alias("failed"))
+
+
 def data_hash(df: DataFrame, columns: list[str]) -> DataFrame:
     """One row ``data_hash, n``: an identity of the rows whatever their order, from per-row digests that are added up."""
     digest = F.conv(F.substring(F.sha2(F.to_json(F.struct(*columns)), 256), 1, 15), 16, 10).cast("decimal(20,0)")

@@ -7,6 +7,7 @@ from statistics import NormalDist
 
 from pyspark.sql import functions as F
 
+from panelspark.operators import book
 from panelspark.operators import performance as perf
 from panelspark.operators import validation as val
 from panelspark.plans import panels as P
@@ -198,6 +199,25 @@ def min_trl(spark, d):
     return val.min_track_record(_sleeves(spark, d))
 
 
+@query(
+    f"""{_MOMENTS}, l AS (SELECT *, CASE WHEN sharpe > 0 THEN greatest(1, 1 + (1 - skew * sharpe + (kurt - 1) / 4 * sharpe * sharpe) * pow({Z95} / sharpe, 2)) END AS min_length FROM mo), k AS (SELECT series_id, n_obs, coalesce(n_obs >= min_length, false) AS sufficient FROM l)
+      SELECT series_id, n_obs, sufficient, CASE WHEN sufficient THEN 'ok' ELSE 'undetermined' END AS status, CASE WHEN (SELECT bool_and(sufficient) FROM k) THEN 'ok' ELSE 'undetermined' END AS overall FROM k"""
+)
+def book_monitor(spark, d):
+    return book.book_monitor(_sleeves(spark, d)).drop("cvar_pct")
+
+
+@query(
+    f"""{_MOMENTS}, l AS (SELECT *, CASE WHEN sharpe > 0 THEN greatest(1, 1 + (1 - skew * sharpe + (kurt - 1) / 4 * sharpe * sharpe) * pow({Z95} / sharpe, 2)) END AS min_length FROM mo), k AS (SELECT series_id, coalesce(n_obs >= min_length, false) AS sufficient FROM l),
+      w AS (SELECT series_id, CASE series_id WHEN 'BUILDING' THEN 0.3 WHEN 'MACHINERY' THEN 0.5 ELSE 0 END AS weight, sufficient FROM k)
+      SELECT series_id, (SELECT sum(weight) FROM w) - weight AS held_weight, CASE WHEN sufficient THEN greatest(1 - ((SELECT sum(weight) FROM w) - weight), 0) END AS residual_weight, NOT sufficient AS refused FROM w""",
+    "held_weight residual_weight",
+)
+def book_residual(spark, d):
+    weights = spark.createDataFrame([("BUILDING", 0.3), ("MACHINERY", 0.5), ("elsewhere", 0.9)], "series_id string, weight double")
+    return book.residual_weight(_sleeves(spark, d), weights).drop("cvar_pct")
+
+
 @query()
 def exp_max_sr(spark, d):
     rows = [(n, val.expected_max_sharpe(n, 0.1)) for n in (1, 2, 10, 100, 1000)]

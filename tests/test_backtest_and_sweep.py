@@ -1,3 +1,6 @@
+import json
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -124,3 +127,50 @@ def test_the_verdict_of_a_sweep_counts_every_trial(spark):
     r = spark.createDataFrame(rows, "trial_id int, pos int, ret double")
     v = sw.sweep_verdict(sw.expand_grid(spark, {"k": [0, 1, 2, 3, 4]}), r, 4).first()
     assert v.n_trials == 5 and v.trial_id == 4 and v.verdict == "edge"
+
+
+def test_walk_forward_with_a_users_function(spark):
+    rng = np.random.default_rng(4)
+    data = {"close": list(np.cumsum(rng.normal(0.05, 1, 80)) + 100), "name": "x"}
+
+    def fn(data, lag, side):
+        if lag > 9:
+            raise RuntimeError("no")
+        c = np.asarray(data["close"])
+        return side * (c[lag:] / c[:-lag] - 1)
+
+    grid = sw.expand_grid(spark, {"lag": [1, 2, 10], "side": [1, -1]})
+    got = {r.window: r for r in sw.walk_forward_fn(grid, fn, data, windows=4).collect()}
+    params = {r.trial_id: json.loads(r.params) for r in grid.collect()}
+    ratio = lambda r: float(np.mean(r) / np.std(r, ddof=1))
+    for w, cut in ((1, 20), (2, 40), (3, 60), (4, 80)):
+        held = max(4, round(cut * 0.25))
+        part = lambda a, b: sw.slice_data(data, a, b)
+        want = {i: ratio(fn(part(0, cut - held), **p)) for i, p in params.items() if p["lag"] < 10}
+        best = max(want, key=lambda i: (want[i], -i))
+        assert (got[w].n_is, got[w].trial_id, got[w].n_trials, got[w].failed) == (cut - held, best, 24, None)
+        assert got[w].is_sharpe == pytest.approx(want[best]) and got[w].oos_sharpe == pytest.approx(ratio(fn(part(cut - held, cut), **params[best])))
+    bad = sw.walk_forward_fn(grid.where("params LIKE '%10%'"), fn, data, windows=5).orderBy("window").collect()
+    assert [r.failed for r in bad] == ["RuntimeError: no"] * 5 and all(r.trial_id is None and r.n_trials == 10 for r in bad)
+    short = sw.walk_forward_fn(grid, fn, {"close": data["close"][:32]}, windows=4).orderBy("window").collect()
+    assert [r.failed for r in short][:1] == ["window_too_short"]
+    with pytest.raises(ValueError):
+        sw.walk_forward_fn(grid, fn, {"close": [1.0] * 10})
+
+
+def test_book_and_garch_target(spark):
+    from panelspark.operators import book, covariance, process
+
+    rng = np.random.default_rng(3)
+    rows = [("good", i, float(x)) for i, x in enumerate(rng.normal(0.004, 0.01, 300))] + [("weak", i, float(x)) for i, x in enumerate(rng.normal(0.0, 0.01, 300))] + [("new", 0, 0.01), ("none", 0, None)]
+    sleeves = spark.createDataFrame(rows, "series_id string, pos int, ret double")
+    got = {r.series_id: (r.status, r.overall) for r in book.book_monitor(sleeves).collect()}
+    assert got == {"good": ("ok", "unchecked"), "weak": ("undetermined", "unchecked"), "new": ("unchecked", "unchecked"), "none": ("unchecked", "unchecked")}
+    weights = spark.createDataFrame([("weak", 0.4), ("new", 0.9)], "series_id string, weight double")
+    left = {r.series_id: r for r in book.residual_weight(sleeves, weights, 1.5).collect()}
+    assert left["good"].residual_weight == pytest.approx(0.2) and not left["good"].refused and left["good"].cvar_pct > 0
+    assert left["weak"].refused and left["weak"].residual_weight is None and left["weak"].held_weight == pytest.approx(0.9)
+    var = process.garch_variance(sleeves)
+    assert var.where("series_id = 'new'").first().var is None or np.isnan(var.where("series_id = 'new'").first().var)
+    target = {r.series_id: r for r in covariance.vol_target_by(var, 0.1).collect()}
+    assert set(target) == {"good", "weak"} and target["weak"].realized_vol == pytest.approx(0.1, rel=0.15) and target["weak"].n_obs == 300
