@@ -175,7 +175,7 @@ _TRIM = "trim({}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || c
 _ROLE = f"CASE WHEN n IN {_in(DATE_NAMES)} THEN 'date' WHEN n IN {_in(SYMBOL_NAMES)} THEN 'symbol' WHEN n IN {_in(CLOSE_NAMES)} THEN 'close' END"
 _COUNTS = "[" + ", ".join(f"{{'k': length(b) - length(replace(b, '{d}', '')), 'i': {-i}, 'd': '{d}'}}" for i, d in enumerate(DELIMITERS)) + "]"
 
-_LINES = f"""WITH t AS (SELECT line_id, file_id, line_no, regexp_replace(regexp_replace(line, chr(13) || '$', ''), '^' || chr(65279), '') AS t FROM long_lines),
+LINES = f"""WITH t AS (SELECT line_id, file_id, line_no, regexp_replace(regexp_replace(line, chr(13) || '$', ''), '^' || chr(65279), '') AS t FROM long_lines),
   h AS (SELECT file_id, arg_min(t, line_id) AS h FROM t WHERE line_no = 1 GROUP BY 1), b AS (SELECT file_id, h, regexp_replace(h, '"[^"]*(?:""[^"]*)*"', '', 'g') AS b FROM h),
   e AS (SELECT file_id, h, list_max({_COUNTS}).d AS d FROM b), n AS (SELECT file_id, d, list_transform({_each(_cells, 'h')}, lambda x: lower({_TRIM.format('x')})) AS names FROM e),
   r AS (SELECT file_id, d, list_transform(names, lambda n: {_ROLE}) AS roles FROM n), l AS (SELECT line_id, t, d, roles FROM t LEFT JOIN r USING (file_id) WHERE line_no <> 1 AND {_TRIM.format('t')} <> ''),
@@ -185,8 +185,8 @@ _LINES = f"""WITH t AS (SELECT line_id, file_id, line_no, regexp_replace(regexp_
     WHEN NOT coalesce(regexp_full_match(symbol, '[A-Za-z0-9.-]{{1,12}}'), false) THEN 'bad_symbol'
     WHEN NOT coalesce(lower(close) IN {_in(MISSING)} OR (regexp_full_match(close, '[+-]?([0-9]{{1,3}}(,[0-9]{{3}})+([.][0-9]*)?|[0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?') AND isfinite(try_cast(replace(close, ',', '') AS DOUBLE))), false) THEN 'bad_close' END AS reason FROM v)"""
 
-ORACLE["p3_found"] = f"{_LINES} SELECT line_id, reason FROM z WHERE reason IS NOT NULL"
-ORACLE["p3_loaded"] = f"""{_LINES} SELECT line_id, CAST(date AS DATE) AS date, upper(symbol) AS symbol, CASE WHEN lower(close) NOT IN {_in(MISSING)} THEN CAST(replace(close, ',', '') AS DOUBLE) END AS close
+ORACLE["p3_found"] = f"{LINES} SELECT line_id, reason FROM z WHERE reason IS NOT NULL"
+ORACLE["p3_loaded"] = f"""{LINES} SELECT line_id, CAST(date AS DATE) AS date, upper(symbol) AS symbol, CASE WHEN lower(close) NOT IN {_in(MISSING)} THEN CAST(replace(close, ',', '') AS DOUBLE) END AS close
   FROM z WHERE reason IS NULL"""
 
 _KIND = "CASE json_type({0}) WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'NULL' THEN NULL ELSE 'number' END"

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from panelspark.operators.parse_rows import close_cells
 from panelspark.plans import panels as P
+from panelspark.queries.pipeline import LINES
 from panelspark.queries.registry import ctes, query
 from panelspark.sources import panels as src
 from panelspark.streaming import readings as st
@@ -41,7 +42,10 @@ def src_num(spark, d):
     return rows.select("line_id", src.number(F.col("v")).alias("value")).where("value IS NOT NULL")
 
 
-@query()
+@query(
+    f"""{LINES} SELECT line_id, CASE WHEN ok AND lower(close) NOT IN ('', 'na', 'n/a', 'nan', 'null', 'none', '-') AND NOT isnan(TRY_CAST(replace(close, ',', '') AS DOUBLE)) THEN TRY_CAST(replace(close, ',', '') AS DOUBLE) END AS value FROM v""",
+    "value",
+)
 def src_num_cells(spark, d):
     """Every whole close cell of the body lines; null where it holds no number. src_num sees only what digits, commas and dots end a line."""
     return close_cells(_read(spark, d, "long_lines")).select("line_id", src.number(F.col("cell")).alias("value"))
