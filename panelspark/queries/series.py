@@ -209,7 +209,7 @@ def book_monitor(spark, d):
 
 @query(
     f"""{_MOMENTS}, l AS (SELECT *, CASE WHEN sharpe > 0 THEN greatest(1, 1 + (1 - skew * sharpe + (kurt - 1) / 4 * sharpe * sharpe) * pow({Z95} / sharpe, 2)) END AS min_length FROM mo), k AS (SELECT series_id, coalesce(n_obs >= min_length, false) AS sufficient FROM l),
-      w AS (SELECT series_id, CASE series_id WHEN 'BUILDING' THEN 0.3 WHEN 'MACHINERY' THEN 0.5 ELSE 0 END AS weight, sufficient FROM k)
+      w AS (SELECT series_id, CASE series_id WHEN 'BUILDING' THEN 0.3::DOUBLE WHEN 'MACHINERY' THEN 0.5::DOUBLE ELSE 0::DOUBLE END AS weight, sufficient FROM k)
       SELECT series_id, (SELECT sum(weight) FROM w) - weight AS held_weight, CASE WHEN sufficient THEN greatest(1 - ((SELECT sum(weight) FROM w) - weight), 0) END AS residual_weight, NOT sufficient AS refused FROM w""",
     "held_weight residual_weight",
 )
